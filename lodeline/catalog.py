@@ -398,7 +398,7 @@ def queries() -> dict[str, Query]:
         # neighbours
         "knn3d": _knn3d,
         "knn_oof_exclusion": _knn_oof,
-        "formation_reference": lambda spark, sf: rounded(formation.formation_reference(train(spark, sf))),
+        "formation_reference": lambda spark, sf: formation.formation_reference(train(spark, sf)),
         "knn2d_impute": lambda spark, sf: rounded(_impute(spark, sf)),
         "formation_plane": _formation_plane,
         "fold_features": _fold_features,

@@ -156,8 +156,10 @@ def window_match(
     pairs = reach.join(extent, "well_id").filter(
         (F.col("t1") >= F.col("lo") - band) & (F.col("t0") <= F.col("hi") + band)
     ).select(*KEYS, "curve_block")
-    left = blocked.join(pairs, KEYS)
-    right = curve.join(pairs, ["well_id", "curve_block"])
+    # Fresh column ids: both sides come from the same pair table.
+    left = blocked.join(pairs, KEYS).toDF(*KEYS, "row_idx", "gr", "anchor", "n", "ps", "curve_block")
+    right = curve.join(pairs, ["well_id", "curve_block"]).select(*KEYS, "curve_block", "row_idx", "tvt", "gr")
+    right = right.toDF(*right.columns)
     on = [*KEYS, "curve_block"]
 
     def match(key: tuple, s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

@@ -315,5 +315,574 @@ def _anchors() -> dict[str, str]:
     return sql
 
 
+NUM = "CAST(substr(well_id, 2) AS bigint)"
+# Fixed values, as in the operators they check.
+OFFSETS = [-80, -40, -20, -10, -5, 0, 5, 10, 20, 40, 80]
+BLENDS = [
+    (0.50, 0.25, 0.25), (0.60, 0.20, 0.20), (0.70, 0.15, 0.15), (0.80, 0.10, 0.10),
+    (0.40, 0.30, 0.30), (0.33, 0.33, 0.34), (0.50, 0.30, 0.20), (0.60, 0.30, 0.10),
+]
+REPORT = [0.01, 0.1, 0.5, 1, 5, 25, 50, 75, 95, 99, 99.5, 99.9, 99.99]
+BOUNDS = [(0.1, 99.9), (0.5, 99.5), (1.0, 99.0)]
+
+
+def _frac(p: float) -> str:
+    return f"{p / 100!r}e0" if "e" not in repr(p / 100) else repr(p / 100)
+
+
+def _offset(o: int) -> str:
+    return f"{'m' if o < 0 else 'p'}{abs(o)}"
+
+
+def _interp(q: str) -> str:
+    """Curve signal at ``q`` for the series in ``a``: linear inside, constant beyond the ends."""
+    lo = f"(SELECT max(struct_pack(t := tvt, g := gr)) FROM reference c WHERE c.well_id = a.well_id AND tvt <= {q})"
+    hi = f"(SELECT min(struct_pack(t := tvt, g := gr)) FROM reference c WHERE c.well_id = a.well_id AND tvt >= {q})"
+    return (
+        f"(SELECT CASE WHEN hi.t > lo.t THEN (hi.g - lo.g) / (hi.t - lo.t) * ({q} - lo.t) + lo.g "
+        f"ELSE coalesce(lo.g, hi.g) END FROM (SELECT {lo} AS lo, {hi} AS hi))"
+    )
+
+
+CURVE = (
+    "curve AS MATERIALIZED (SELECT a.well_id, s.*, "
+    + ", ".join(f"{_interp(f'(last_known + ({o}))')} AS at_{_offset(o)}" for o in OFFSETS)
+    + """ FROM anchors a JOIN (SELECT well_id AS w, arg_max(tvt, tw_idx) - arg_min(tvt, tw_idx) AS tw_range,
+      CASE WHEN count(*) = count(gr) THEN avg(gr) END AS tw_gr_mean,
+      CASE WHEN count(*) = count(gr) THEN stddev_pop(gr) END AS tw_gr_std FROM reference GROUP BY well_id) s
+      ON s.w = a.well_id)"""
+)
+
+# Window sums along the diagonals of series row x curve row; a window is valid when all of its cells exist and its
+# ends lie in the band around the anchor.
+MATCH = """
+cells AS (
+  SELECT q.well_id, q.row_idx AS i, c.tw_idx AS j, abs(q.g - coalesce(c.gr, 0)) AS d, q.n, q.anchor
+  FROM match_rows q JOIN reference c ON c.well_id = q.well_id
+  WHERE q.row_idx >= q.ps - 25),
+win AS (
+  SELECT well_id, i, j, n, anchor, sum(d) OVER f AS sad, count(*) OVER f AS k,
+         greatest(i - 25, 0) AS lo, least(i + 26, n) AS hi
+  FROM cells WINDOW f AS (PARTITION BY well_id, j - i ORDER BY i ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)),
+fit AS (
+  SELECT w.well_id, w.i, sad, j + lo - i AS s, j + lo - i + (hi - lo) // 2 AS mid
+  FROM win w
+  JOIN reference a ON a.well_id = w.well_id AND a.tw_idx = j + lo - i AND a.tvt >= anchor - 300
+  JOIN reference b ON b.well_id = w.well_id AND b.tw_idx = j + hi - 1 - i AND b.tvt <= anchor + 300
+  JOIN anchors p ON p.well_id = w.well_id AND w.i >= p.ps
+  WHERE k = hi - lo AND hi - lo >= 3),
+pick AS (SELECT well_id, i, min(struct_pack(d := sad, s := s, m := mid)) AS b FROM fit GROUP BY well_id, i),
+matched AS MATERIALIZED (
+  SELECT q.well_id, q.row_idx, coalesce(c.tvt, q.anchor) AS matched_tvt
+  FROM match_rows q LEFT JOIN pick ON pick.well_id = q.well_id AND pick.i = q.row_idx
+  LEFT JOIN reference c ON c.well_id = q.well_id AND c.tw_idx = pick.b.m
+  WHERE q.row_idx >= q.ps)"""
+
+
+def _match_rows(anchor: str) -> str:
+    return f"""match_rows AS MATERIALIZED (
+  SELECT well_id, row_idx, coalesce(gr, 0) AS g, n, ps, {anchor} AS anchor FROM series JOIN cut USING (well_id))"""
+
+
+STRATEGIES = (
+    _match_rows("CASE WHEN tvt_input IS NULL THEN last_known + (md - md_cut) / 32 END")
+    + ","
+    + MATCH
+    + """,
+strategies AS MATERIALIZED (
+  SELECT well_id, row_idx, s.split, tvt AS truth, last_known + (md - md_cut) / 32 AS model,
+    CASE WHEN row_idx >= ps THEN z + (last_known - z_cut) END AS z_physics,
+    coalesce(matched_tvt, last_known + (md - md_cut) / 32) AS matched
+  FROM series s JOIN cut USING (well_id) LEFT JOIN matched USING (well_id, row_idx) WHERE tvt_input IS NULL)"""
+)
+
+
+def _fit(window: int, polyorder: int):
+    import numpy as np
+
+    half = window // 2
+    design = np.vander(np.arange(-half, half + 1) / max(half, 1), polyorder + 1, increasing=True)
+    return design @ np.linalg.pinv(design)
+
+
+def _smooth(source: str, value: str, window: int, polyorder: int) -> str:
+    """``(well_id, row_idx, v)`` of ``source`` smoothed.
+
+    Each row takes place r of a window that starts at ``b``: the middle place inside, the row's own place at the ends.
+    """
+    half, fit = window // 2, _fit(window, polyorder)
+    weights = ", ".join(f"({r}, {k}, {float(c)!r})" for r, row in enumerate(fit) for k, c in enumerate(row))
+    return f"""SELECT q.well_id, q.row_idx, coalesce(f.v, q.v) AS v FROM (SELECT well_id, row_idx, {value} AS v FROM {source}) q
+      LEFT JOIN (
+        SELECT t.well_id, t.row_idx, sum(w.c * s.v) AS v FROM (
+          SELECT well_id, row_idx, greatest(0, least(p - {half}, n - {window})) AS b, p FROM (
+            SELECT well_id, row_idx, row_number() {W} - 1 AS p, count(*) OVER (PARTITION BY well_id) AS n FROM {source})
+          WHERE n > {window}) t
+        JOIN (VALUES {weights}) w(r, k, c) ON w.r = t.p - t.b
+        JOIN (SELECT well_id, row_number() {W} - 1 AS p, {value} AS v FROM {source}) s
+          ON s.well_id = t.well_id AND s.p = t.b + w.k
+        GROUP BY t.well_id, t.row_idx) f USING (well_id, row_idx)"""
+
+
+def _references() -> dict[str, str]:
+    sql = {}
+    cols = ", ".join(f"round(at_{_offset(o)}, 6) AS gr_at_{_offset(o)}" for o in OFFSETS)
+    sql["interp_asof"] = _with("reference anchors", f"WITH {CURVE} SELECT well_id, {cols} FROM curve")
+    sql["nearest_asof"] = _with(
+        "reference anchors",
+        """SELECT well_id, m.i AS tw_idx, m.t AS tvt, m.g AS gap FROM (
+        SELECT c.well_id, min(struct_pack(g := abs(tvt - last_known), i := tw_idx, t := tvt)) AS m
+        FROM reference c JOIN anchors USING (well_id) GROUP BY c.well_id)""",
+    )
+    sql["band_join"] = _with(
+        "reference anchors",
+        """SELECT well_id, tw_idx, tvt, gr FROM reference JOIN anchors USING (well_id)
+        WHERE tvt BETWEEN last_known - 300 AND last_known + 300""",
+    )
+    sql["reference_summary"] = _with(
+        "reference",
+        """SELECT well_id, arg_max(tvt, tw_idx) - arg_min(tvt, tw_idx) AS tw_range, round(avg(gr), 6) AS tw_gr_mean,
+        round(stddev_pop(gr), 6) AS tw_gr_std FROM reference GROUP BY well_id""",
+    )
+    res = ", ".join(
+        f"round(CASE WHEN last_known IS NULL THEN 0 ELSE gr - at_{_offset(o)} END, 6) AS tw_gr_residual_{_offset(o)}"
+        for o in OFFSETS
+    )
+    sql["reference_residuals"] = _with(
+        "reference anchors",
+        f"""WITH {CURVE} SELECT well_id, row_idx, {res}, CASE WHEN last_known IS NULL THEN 0 ELSE tw_range END AS tw_range,
+        round(CASE WHEN last_known IS NULL THEN 0 ELSE tw_gr_mean END, 6) AS tw_gr_mean,
+        round(CASE WHEN last_known IS NULL THEN 0 ELSE tw_gr_std END, 6) AS tw_gr_std,
+        round(CASE WHEN last_known IS NULL THEN 0 ELSE at_p0 END, 6) AS tw_gr_at_last_tvt
+        FROM series JOIN anchors USING (well_id) JOIN curve USING (well_id)""",
+    )
+    sql["formation_signal"] = _with(
+        "reference",
+        """SELECT geology, count(gr) AS n, round(avg(gr), 6) AS gr_mean, round(stddev_samp(gr), 6) AS gr_std
+        FROM reference GROUP BY geology""",
+    )
+    physics = _match_rows("CASE WHEN row_idx >= ps THEN z + (last_known - z_cut) END")
+    sql["window_match"] = _with(
+        "reference cut", f"WITH {physics}, {MATCH} SELECT well_id, row_idx, round(matched_tvt, 6) AS matched_tvt FROM matched"
+    )
+    vals = "[model, z_physics, matched]"
+    med = f"list_median(list_filter({vals}, lambda v: isfinite(v)))"
+    sql["blend_median"] = _with(
+        "reference cut",
+        f"WITH {STRATEGIES} SELECT well_id, row_idx, round(coalesce({med}, model), 6) AS tvt FROM strategies",
+    )
+    sql["blend_weighted"] = _with(
+        "reference cut",
+        f"""WITH {STRATEGIES} SELECT well_id, row_idx, round((0.8e0 * model + coalesce(0.1e0 * z_physics, 0) + 0.1e0 * matched)
+        / (0.8e0 + CASE WHEN z_physics IS NULL THEN 0 ELSE 0.1e0 END + 0.1e0), 6) AS tvt FROM strategies""",
+    )
+    names = ["model", "z_physics", "matched", "med"]
+    labels = {"med": "median"}
+    lines = [f"SELECT 'rmse' AS section, '{labels.get(n, n)}' AS name, sqrt(avg((truth - {n}) ** 2)) AS value FROM t" for n in names]
+    lines += [f"SELECT 'corr_truth', '{labels.get(n, n)}', corr(truth, {n}) FROM t" for n in names]
+    lines += [
+        f"SELECT 'corr_pair', '{a}~{b}', corr({a}, {b}) FROM t"
+        for a, b in (("model", "z_physics"), ("model", "matched"), ("z_physics", "matched"))
+    ]
+    for a, b, c in BLENDS:
+        label = f"{a:.2f},{b:.2f},{c:.2f}"
+        mix = f"({a}e0 * model + {b}e0 * z_physics + {c}e0 * matched) / ({a}e0 + {b}e0 + {c}e0)"
+        lines.append(f"SELECT 'blend', '{label}', sqrt(avg((truth - {mix}) ** 2)) FROM t")
+    sql["blend_grid"] = _with(
+        "reference cut",
+        f"""WITH {STRATEGIES}, t AS MATERIALIZED (SELECT truth, model, coalesce(z_physics, model) AS z_physics, matched, {med} AS med
+        FROM strategies WHERE split = 'train'), u AS ({' UNION ALL '.join(lines)})
+        SELECT section, name, round(value, 6) AS value,
+          CAST(row_number() OVER (PARTITION BY section ORDER BY value, name) AS int) AS rank FROM u""",
+    )
+    return sql
+
+
+def _knn_sql(query: str, cond: str) -> str:
+    """Nearest 50 known train rows of each row of ``query``.
+
+    Runs of 64 reference rows have a box each. A full run whose farthest corner is nearest bounds the 50th
+    distance; only runs whose box comes that near are searched.
+    """
+    cols = ", ".join(
+        f"round(list_avg(v[:{k}]), 6) AS spatial_nn{k}_mean_tvt, round(list_median(v[:{k}]), 6) AS spatial_nn{k}_median_tvt, "
+        f"round(list_stddev_pop(v[:{k}]), 6) AS spatial_nn{k}_std_tvt"
+        for k in (5, 10, 50)
+    )
+    near = " + ".join(f"greatest({c}0 - q.{c}, q.{c} - {c}1, 0) ** 2" for c in "xyz")
+    far = " + ".join(f"greatest(abs(q.{c} - {c}0), abs(q.{c} - {c}1)) ** 2" for c in "xyz")
+    return f"""WITH p AS MATERIALIZED (SELECT {NUM} AS w, row_idx // 64 AS run, {NUM} * 4294967296 + row_idx AS id, x, y, z, tvt_input AS v
+      FROM series WHERE split = 'train' AND tvt_input IS NOT NULL),
+    q AS MATERIALIZED (SELECT *, {NUM} AS qw FROM ({query})),
+    boxes AS MATERIALIZED (SELECT w, run, count(*) AS k, {', '.join(f'min({c}) AS {c}0, max({c}) AS {c}1' for c in 'xyz')} FROM p GROUP BY w, run),
+    reach AS (SELECT well_id, row_idx, min(CASE WHEN k >= 50 THEN {far} END) AS r FROM q JOIN boxes ON {cond} GROUP BY ALL),
+    open AS (SELECT q.well_id, q.row_idx, q.x, q.y, q.z, w, run FROM q JOIN reach USING (well_id, row_idx) JOIN boxes ON {cond}
+      WHERE {near} <= r),
+    near AS (SELECT q.well_id, q.row_idx, min(struct_pack(
+        d := (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2, id := p.id, v := p.v), 50) AS m
+      FROM open q JOIN p USING (w, run) GROUP BY q.well_id, q.row_idx),
+    l AS (SELECT well_id, row_idx, list_transform(m, lambda e: e.v) AS v FROM near)
+    SELECT well_id, row_idx, {cols} FROM l"""
+
+
+def _formation_ref(where: str) -> str:
+    meds = ", ".join(f"median({f}) AS {f}" for f in FORMATIONS)
+    full = " AND ".join(f"count({f}) > 0" for f in FORMATIONS)
+    return f"""SELECT well_id, median(x) AS x_med, median(y) AS y_med, {meds} FROM series {where}
+        GROUP BY well_id HAVING {full}"""
+
+
+def _impute(query: str, cond: str, extra: str = "") -> str:
+    avgs = ", ".join(f"avg(r.{f}) AS fp_{f}" for f in FORMATIONS)
+    return f"""ref AS MATERIALIZED ({_formation_ref("WHERE split = 'train'")}),
+    pos AS MATERIALIZED ({query}),
+    pairs AS (SELECT q.well_id AS qw, q.x_med AS qx, q.y_med AS qy{extra}, r.*, sqrt((q.x_med - r.x_med) ** 2 + (q.y_med - r.y_med) ** 2) AS dist,
+       row_number() OVER (PARTITION BY q.well_id{extra} ORDER BY (q.x_med - r.x_med) ** 2 + (q.y_med - r.y_med) ** 2, r.well_id) AS rn
+       FROM pos q JOIN ref r ON {cond}),
+    imputed AS MATERIALIZED (SELECT qw AS well_id, any_value(qx) AS x_med, any_value(qy) AS y_med{extra.replace("q.", "")}, {avgs},
+       avg(dist) AS fp_knn_mean_dist, stddev_pop(r.ancc) AS fp_knn_std_ancc, stddev_pop(r.buda) AS fp_knn_std_buda
+       FROM pairs r WHERE rn <= 10 GROUP BY qw{extra.replace("q.", "")})"""
+
+
+FP = [f"fp_{f}" for f in FORMATIONS] + ["fp_knn_mean_dist", "fp_knn_std_ancc", "fp_knn_std_buda"]
+
+
+def _neighbours() -> dict[str, str]:
+    sql = {}
+    sql["knn3d"] = _with("series", _knn_sql("SELECT * FROM series", "true"))
+    sql["knn_oof_exclusion"] = _with("series", _knn_sql("SELECT * FROM series WHERE split = 'train'", "qw % 5 <> w % 5"))
+    sql["formation_reference"] = _with("series", _formation_ref("WHERE split = 'train'"))
+    where = "SELECT well_id, median(x) AS x_med, median(y) AS y_med FROM series GROUP BY well_id"
+    imputed = _impute(where, "true")
+    cols = ", ".join(f"round({c}, 6) AS {c}" for c in FP)
+    sql["knn2d_impute"] = _with("series", f"WITH {imputed} SELECT well_id, x_med, y_med, {cols} FROM imputed")
+    pairs = list(zip(FORMATIONS, FORMATIONS[1:]))
+    sql["formation_plane"] = _with(
+        "series",
+        f"""WITH {imputed} SELECT s.well_id, row_idx, {cols},
+        {', '.join(f'round(z - fp_{f}, 6) AS fp_z_vs_{f}' for f in FORMATIONS)},
+        round(least({', '.join(f'abs(z - fp_{f})' for f in FORMATIONS)}), 6) AS fp_nearest_dist,
+        {', '.join(f'round(fp_{a} - fp_{b}, 6) AS fp_thick_{a}_{b}' for a, b in pairs)}
+        FROM series s JOIN imputed i ON i.well_id = s.well_id""",
+    )
+    per_fold = _impute(
+        """SELECT well_id, median(x) AS x_med, median(y) AS y_med, CAST(f AS int) AS fold
+        FROM series, range(5) t(f) WHERE split = 'train' GROUP BY well_id, f""",
+        "CAST(substr(r.well_id, 2) AS int) % 5 <> q.fold",
+        ", q.fold",
+    )
+    sql["fold_features"] = _with("series", f"WITH {per_fold} SELECT well_id, x_med, y_med, fold, {cols} FROM imputed")
+    return sql
+
+
+def _metrics() -> dict[str, str]:
+    sql = {}
+    tr = "(SELECT * FROM series WHERE split = 'train')"
+    sql["rmse"] = _with("oof", "SELECT round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, count(*) AS n FROM oof")
+    sql["naive_validation"] = _with(
+        "anchors",
+        """SELECT round(sqrt(avg((tvt - last_known) ** 2)), 6) AS rmse, count(*) AS n_rows, count(DISTINCT well_id) AS n_wells
+        FROM series s JOIN anchors a USING (well_id)
+        WHERE s.split = 'train' AND row_idx >= ps AND has_cut AND last_known IS NOT NULL AND tvt IS NOT NULL""",
+    )
+    sql["fallback_median"] = _with("series", f"SELECT round(median(tvt), 6) AS fallback FROM {tr}")
+    lines = [f"SELECT 'p{a}-p{b}' AS label, quantile_cont(tvt, {_frac(a)}) AS lower, quantile_cont(tvt, {_frac(b)}) AS upper FROM {tr}" for a, b in BOUNDS]
+    sql["clip_bounds"] = _with(
+        "series", f"SELECT label, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ({' UNION ALL '.join(lines)})"
+    )
+    sql["clip"] = _with(
+        "series",
+        f"""WITH b AS (SELECT quantile_cont(tvt, 0.01e0) AS lo, quantile_cont(tvt, 0.99e0) AS hi FROM {tr})
+        SELECT well_id, row_idx, round(greatest(lo, least(hi, tvt)), 6) AS tvt,
+        greatest(5100, least(5400, greatest(lo, least(hi, tvt)))) AS fixed FROM series, b""".replace(
+            "AS fixed", "AS fixed_"
+        ).replace("greatest(5100, least(5400, greatest(lo, least(hi, tvt)))) AS fixed_", "round(greatest(5100, least(5400, greatest(lo, least(hi, tvt)))), 6) AS fixed"),
+    )
+    stats = [("count", "count(*)"), ("min", "min(tvt)"), ("max", "max(tvt)"), ("mean", "avg(tvt)"), ("std", "stddev_pop(tvt)")]
+    stats += [(f"p{p}", f"quantile_cont(tvt, {_frac(p)})") for p in REPORT]
+    rows = [f"SELECT '{n}' AS name, CAST({e} AS double) AS value FROM {tr}" for n, e in stats]
+    rows += [
+        f"""SELECT 'outside_p{a}_p{b}', avg(CASE WHEN tvt < lo OR tvt > hi THEN 1e0 ELSE 0e0 END) * 100 FROM {tr},
+        (SELECT quantile_cont(tvt, {_frac(a)}) AS lo, quantile_cont(tvt, {_frac(b)}) AS hi FROM {tr})"""
+        for a, b in BOUNDS
+    ]
+    sql["range_report"] = _with("series", f"SELECT name, round(value, 5) AS value FROM ({' UNION ALL '.join(rows)})")
+    placed = """placed AS MATERIALIZED (SELECT o.*, CASE WHEN has_cut THEN (row_idx - ps) / CAST(greatest(n - ps - 1, 1) AS double) END AS frac_after_ps,
+        CASE WHEN has_cut THEN row_idx - ps ELSE -1 END AS rows_since_ps,
+        CAST(CASE WHEN has_cut THEN n - ps ELSE 0 END AS int) AS well_post_ps_length FROM oof o JOIN anchors USING (well_id))"""
+    sql["oof_metadata"] = _with(
+        "oof",
+        f"""WITH {placed} SELECT well_id, row_idx, fold, y_true, y_pred, y_pred_b, baseline, round(frac_after_ps, 6) AS frac_after_ps,
+        rows_since_ps, well_post_ps_length FROM placed""",
+    )
+    by_fold = """SELECT fold, count(*) AS n_rows, count(DISTINCT well_id) AS n_wells,
+        round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse_delta,
+        round(sqrt(avg(((y_true + baseline) - (y_pred + baseline)) ** 2)), 4) AS rmse_full FROM oof GROUP BY fold"""
+    sql["rmse_by_fold"] = _with("oof", by_fold)
+    edges = ", ".join(f"lo + (hi - lo) / 10 * {k}" for k in range(1, 10))
+    position = f"""e AS (SELECT min(frac_after_ps) AS lo, max(frac_after_ps) AS hi FROM placed),
+        g AS (SELECT p.*, len(list_filter([{edges}], lambda v: v < frac_after_ps)) AS b FROM placed p, e WHERE frac_after_ps IS NOT NULL),
+        u AS (SELECT printf('bin_%02d', b) AS grp, * FROM g
+          UNION ALL SELECT 'first_5', * FROM g WHERE rows_since_ps < 5
+          UNION ALL SELECT 'first_10', * FROM g WHERE rows_since_ps < 10
+          UNION ALL SELECT 'last_5', * FROM g WHERE frac_after_ps > 1.0e0 - 5.0e0 / greatest(well_post_ps_length, 1)
+          UNION ALL SELECT 'last_10', * FROM g WHERE frac_after_ps > 1.0e0 - 10.0e0 / greatest(well_post_ps_length, 1)),
+        pos AS (SELECT grp, CASE WHEN grp LIKE 'bin%' THEN printf('[%.2f-%.2f)', min(frac_after_ps), max(frac_after_ps)) ELSE '* ' || grp END AS frac_bin,
+          count(*) AS n_rows, round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse_delta FROM u GROUP BY grp)"""
+    sql["rmse_by_position"] = _with("oof", f"WITH {placed}, {position} SELECT * FROM pos")
+    length = """w AS (SELECT well_id, max(well_post_ps_length) AS len, sum((y_true - y_pred) ** 2) AS sse, count(*) AS n
+          FROM placed WHERE well_post_ps_length > 0 GROUP BY well_id),
+        le AS (SELECT list_sort(list_distinct(quantile_cont(CAST(len AS double), [0, 0.2e0, 0.4e0, 0.6e0, 0.8e0, 1]))) AS edges FROM w),
+        bylen AS (SELECT CAST(greatest(len(list_filter(edges, lambda v: v < len)) - 1, 0) AS int) AS bin, sse, n FROM w, le),
+        lens AS (SELECT bin, count(*) AS n_wells, CAST(sum(n) AS bigint) AS n_rows, round(sqrt(sum(sse) / sum(n)), 4) AS rmse_delta FROM bylen GROUP BY bin)"""
+    sql["rmse_by_length"] = _with("oof", f"WITH {placed}, {length} SELECT * FROM lens")
+    ratio = """r AS (SELECT well_id, count(*) AS n, CASE WHEN stddev_pop(y_true) > 1e-8 THEN stddev_pop(y_pred) / stddev_pop(y_true) ELSE 0 END AS ratio
+        FROM oof GROUP BY well_id)"""
+    disp = """disp AS (SELECT round(stddev_pop(y_true), 2) AS target_std, round(stddev_pop(y_pred), 2) AS pred_std,
+        round(CASE WHEN stddev_pop(y_true) > 1e-8 THEN stddev_pop(y_pred) / stddev_pop(y_true) ELSE 0 END, 4) AS std_ratio,
+        round(avg(y_true), 2) AS target_mean, round(avg(y_pred), 2) AS pred_mean,
+        (SELECT round(median(ratio), 4) FROM r) AS per_well_ratio_median,
+        (SELECT round(stddev_pop(ratio), 4) FROM r) AS per_well_ratio_std,
+        (SELECT count(*) FROM r WHERE ratio < 0.5 AND n > 10) AS n_flattening_wells FROM oof)"""
+    sql["dispersion"] = _with("oof", f"WITH {ratio}, {disp} SELECT * FROM disp")
+    sql["flattening_wells"] = _with(
+        "oof",
+        f"WITH {ratio} SELECT well_id, round(ratio, 6) AS ratio FROM r WHERE ratio < 0.5 AND n > 10 ORDER BY well_id LIMIT 10",
+    )
+    sql["oof_join"] = _with(
+        "oof",
+        """SELECT well_id, row_idx, y_true AS y_true_a, y_pred AS y_pred_a, y_true AS y_true_b, y_pred_b AS y_pred_b,
+        y_pred - y_true AS err_a, y_pred_b - y_true AS err_b FROM oof""",
+    )
+    pair = """pw AS (SELECT well_id, CASE WHEN count(*) >= 3 AND stddev_pop(y_pred - y_true) * stddev_pop(y_pred_b - y_true) <> 0
+          THEN covar_pop(y_pred - y_true, y_pred_b - y_true) / (stddev_pop(y_pred - y_true) * stddev_pop(y_pred_b - y_true)) END AS c
+          FROM oof GROUP BY well_id),
+        err AS (SELECT count(*) AS n_shared_rows, count(DISTINCT well_id) AS n_shared_wells,
+        round(corr(y_pred - y_true, y_pred_b - y_true), 4) AS global_error_corr,
+        (SELECT round(coalesce(median(c), 0), 4) FROM pw) AS per_well_corr_median,
+        (SELECT round(coalesce(avg(c), 0), 4) FROM pw) AS per_well_corr_mean,
+        (SELECT round(coalesce(stddev_pop(c), 0), 4) FROM pw) AS per_well_corr_std,
+        round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse_a, round(sqrt(avg((y_true - y_pred_b) ** 2)), 4) AS rmse_b,
+        round(sqrt(avg((y_true - (y_pred + y_pred_b) / 2) ** 2)), 4) AS rmse_mean_blend,
+        round(sqrt(avg((y_true - (y_pred + y_pred_b) / 2) ** 2))
+          - least(sqrt(avg((y_true - y_pred) ** 2)), sqrt(avg((y_true - y_pred_b) ** 2))), 4) AS blend_gain_vs_best FROM oof)"""
+    sql["error_correlation"] = _with("oof", f"WITH {pair} SELECT * FROM err")
+    bw = """pr AS (SELECT well_id, count(*) AS n_rows, round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse_delta FROM oof GROUP BY well_id),
+        bw AS (SELECT *, 'worst' AS side FROM (FROM pr ORDER BY rmse_delta DESC, well_id LIMIT 10)
+        UNION ALL SELECT *, 'best' FROM (FROM pr ORDER BY rmse_delta, well_id DESC LIMIT 10))"""
+    sql["best_worst"] = _with("oof", f"WITH {bw} SELECT * FROM bw")
+
+    def long(source: str, section: str, key: str, names: list[str]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{section}' AS section, CAST({key} AS varchar) AS key, '{n}' AS metric, CAST({n} AS double) AS value FROM {source}"
+            for n in names
+        )
+
+    parts = [
+        long("su", "summary", "'all'", ["n_rows", "n_wells", "rmse_delta"]),
+        long("bf", "by_fold", "fold", ["n_rows", "n_wells", "rmse_delta", "rmse_full"]),
+        long("fo", "folds", "'all'", ["rmse_mean", "rmse_std"]),
+        long("pos", "by_position", "grp", ["n_rows", "rmse_delta"]),
+        long("lens", "by_length", "bin", ["n_wells", "n_rows", "rmse_delta"]),
+        long("di", "dispersion", "'all'", ["target_std", "pred_std", "std_ratio", "target_mean", "pred_mean", "per_well_ratio_median", "per_well_ratio_std", "n_flattening_wells", "flattening"]),
+        long("bw", "best_worst", "side || ':' || well_id", ["n_rows", "rmse_delta"]),
+        long("ec", "error_correlation", "'all'", ["n_shared_rows", "n_shared_wells", "global_error_corr", "per_well_corr_median", "per_well_corr_mean", "per_well_corr_std", "rmse_a", "rmse_b", "rmse_mean_blend", "blend_gain_vs_best", "blend_helps"]),
+    ]
+    sql["oof_report"] = _with(
+        "oof",
+        f"""WITH {placed}, {position}, {length}, {ratio}, {disp}, {pair}, {bw}, bf AS ({by_fold}),
+        su AS (SELECT count(*) AS n_rows, count(DISTINCT well_id) AS n_wells, round(sqrt(avg((y_true - y_pred) ** 2)), 4) AS rmse_delta FROM oof),
+        fo AS (SELECT round(avg(rmse_delta), 4) AS rmse_mean, round(stddev_pop(rmse_delta), 4) AS rmse_std FROM bf),
+        di AS (SELECT *, CASE WHEN std_ratio < 0.7 THEN 1 ELSE 0 END AS flattening FROM disp),
+        ec AS (SELECT *, CASE WHEN blend_gain_vs_best < 0 THEN 1 ELSE 0 END AS blend_helps FROM err)
+        {' UNION ALL '.join(parts)}""",
+    )
+    sql["cv_summary"] = _with(
+        "oof",
+        """SELECT round(avg(r), 6) AS rmse_mean, round(stddev_pop(r), 6) AS rmse_std, count(*) AS n_folds
+        FROM (SELECT fold, sqrt(avg((y_true - y_pred) ** 2)) AS r FROM oof GROUP BY fold)""",
+    )
+    sql["seed_ensemble"] = _with(
+        "oof", "SELECT well_id, row_idx, round((y_pred + y_pred_b + (y_pred + y_pred_b) / 4) / 3, 6) AS y_mean FROM oof"
+    )
+    sql["signed_log"] = _with(
+        "oof",
+        """WITH t AS (SELECT well_id, row_idx, sign(y_true) * ln(1 + abs(y_true)) AS l FROM oof)
+        SELECT well_id, row_idx, round(l, 6) AS y_log, round(sign(l) * (exp(abs(l)) - 1), 6) AS y_back FROM t""",
+    )
+    full = "full_oof AS MATERIALIZED (SELECT well_id, row_idx, y_true + baseline AS t, y_pred + baseline AS p, greatest(5100, least(5400, y_pred + baseline)) AS pc FROM oof)"
+    sql["savgol"] = _with(
+        "oof", f"WITH {full} SELECT well_id, row_idx, round(v, 4) AS tvt FROM ({_smooth('full_oof', 'p', 31, 2)})"
+    )
+    sql["postprocess"] = _with(
+        "oof", f"WITH {full} SELECT well_id, row_idx, round(v, 4) AS tvt FROM ({_smooth('full_oof', 'pc', 31, 2)})"
+    )
+    ctes, scores, setting = [], [], 0
+    bounds = [(None, None), (5100.0, 5300.0), (5050.0, 5400.0)]
+    order = [(None, None)] + [(31, None)] + [(w, None) for w in (5, 11)]
+    order += [(None, b) for b in bounds[1:]] + [(w, b) for w in (5, 11, 31) for b in bounds[1:]]
+    for w, b in order:
+        lo, hi = b or (None, None)
+        clipped = f"greatest({lo}, least({hi}, p))" if b else "p"
+        ctes.append(f"c{setting} AS (SELECT well_id, row_idx, t, {clipped} AS p FROM full_oof)")
+        src = _smooth(f"c{setting}", "p", w, 2) if w else f"SELECT well_id, row_idx, p AS v FROM c{setting}"
+        null = "NULL"
+        scores.append(
+            f"""SELECT {setting} AS setting, {w or 'CAST(NULL AS int)'} AS "window", {2 if w else 0} AS polyorder,
+            CAST({lo if b else null} AS double) AS lower, CAST({hi if b else null} AS double) AS upper, 'clip_smooth' AS apply_order,
+            (SELECT sqrt(avg((t - v) ** 2)) FROM full_oof JOIN ({src}) USING (well_id, row_idx)) AS rmse"""
+        )
+        setting += 1
+    sql["postproc_grid"] = _with(
+        "oof",
+        f"""WITH {full}, {', '.join(ctes)}, g AS MATERIALIZED ({' UNION ALL '.join(scores)}),
+        b AS (SELECT arg_min(setting, rmse) AS best, min(rmse) AS best_rmse, max(rmse) FILTER (WHERE setting = 0) AS raw,
+              max(rmse) FILTER (WHERE setting = 1) AS def FROM g)
+        SELECT setting, "window", polyorder, lower, upper, apply_order, round(rmse, 4) AS rmse, round(rmse - raw, 4) AS delta_vs_raw,
+        round(rmse - def, 4) AS delta_vs_default, setting = CASE WHEN def - best_rmse < 0.01 THEN 1 ELSE best END AS chosen FROM g, b""",
+    )
+    return sql
+
+
+def _folds() -> dict[str, str]:
+    sql = {}
+    sql["fold_overlap"] = _with(
+        "series", "SELECT well_id, count(DISTINCT row_idx % 3) AS n_folds FROM series GROUP BY well_id HAVING n_folds > 1"
+    )
+    sql["group_holdout"] = _with(
+        "series", "SELECT DISTINCT well_id, substr(md5(well_id || ':42'), 1, 8) < '19999999' AS holdout FROM series"
+    )
+    sql["group_folds"] = _with(
+        "series",
+        """WITH s AS (SELECT well_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(well_id), well_id) AS k
+            FROM series WHERE split = 'train' GROUP BY well_id),
+        g(k, well_id, n, fold, loads) AS (
+          SELECT CAST(0 AS bigint), '', CAST(0 AS bigint), 0, [CAST(0 AS bigint), 0, 0, 0, 0]
+          UNION ALL
+          SELECT s.k, s.well_id, s.n, CAST(list_position(loads, list_min(loads)) - 1 AS int),
+            list_transform(loads, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.n ELSE 0 END)
+          FROM g JOIN s ON s.k = g.k + 1)
+        SELECT well_id, n, fold FROM g WHERE k > 0""",
+    )
+    labels = f"""c AS (SELECT s.well_id, a.ps, a.n, has_cut,
+            max(x) FILTER (WHERE row_idx = ps) - max(x) FILTER (WHERE row_idx = ps - 1) AS dxi,
+            max(y) FILTER (WHERE row_idx = ps) - max(y) FILTER (WHERE row_idx = ps - 1) AS dyi,
+            coalesce(max(x) FILTER (WHERE row_idx = 1) - max(x) FILTER (WHERE row_idx = 0), 0) AS dxo,
+            coalesce(max(y) FILTER (WHERE row_idx = 1) - max(y) FILTER (WHERE row_idx = 0), 0) AS dyo,
+            max(x) FILTER (WHERE row_idx = a.n - 1) - max(x) FILTER (WHERE row_idx = 0) AS dxw,
+            max(y) FILTER (WHERE row_idx = a.n - 1) - max(y) FILTER (WHERE row_idx = 0) AS dyw,
+            median(tvt) FILTER (WHERE tvt_input IS NULL) AS tvt
+          FROM series s JOIN anchors a ON a.well_id = s.well_id WHERE s.split = 'train' GROUP BY s.well_id, a.ps, a.n, a.has_cut),
+        e AS (SELECT list_sort(list_distinct(quantile_cont(tvt, [0, 0.25e0, 0.5e0, 0.75e0, 1]))) AS edges FROM c),
+        l0 AS (SELECT well_id, CASE WHEN atan2(CASE WHEN ps = 0 THEN dyo WHEN has_cut THEN dyi ELSE dyw END,
+              CASE WHEN ps = 0 THEN dxo WHEN has_cut THEN dxi ELSE dxw END) >= 0 THEN 1 ELSE 0 END AS azimuth_bin,
+              CAST(greatest(len(list_filter(edges, lambda v: v < tvt)) - 1, 0) AS int) AS tvt_bin FROM c, e WHERE tvt IS NOT NULL),
+        l1 AS (SELECT *, 0 AS cluster, azimuth_bin * 4 + tvt_bin AS label FROM l0),
+        k AS (SELECT label, count(*) AS c FROM l1 GROUP BY label),
+        m AS (SELECT k.label, CASE WHEN k.c < 5 AND (SELECT count(*) FROM k WHERE c >= 5) > 0 THEN
+              (SELECT min(struct_pack(d := abs(v.label - k.label), v := v.label)).v FROM k v WHERE v.c >= 5) ELSE k.label END AS dest FROM k),
+        labels AS MATERIALIZED (SELECT well_id, azimuth_bin, tvt_bin, cluster, CAST(dest AS int) AS label FROM l1 JOIN m USING (label))"""
+    sql["strat_labels"] = _with("anchors", f"WITH {labels} SELECT * FROM labels")
+    sql["strat_folds"] = _with(
+        "anchors",
+        f"""WITH {labels}, t AS (SELECT well_id, label, (row_number() OVER (ORDER BY label, md5(well_id), well_id) - 1) % 10 AS s FROM labels)
+        SELECT well_id, label, CAST(CASE WHEN s < 5 THEN s ELSE 9 - s END AS int) AS fold FROM t""",
+    )
+    cols = ["x", "y", "z", "md", "tvt"]
+    mean = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in cols)
+    scaled = ", ".join(f"round(CASE WHEN {c}_s < 1e-12 THEN {c} ELSE ({c} - {c}_m) / {c}_s END, 6) AS {c}" for c in cols)
+    sql["fold_scaler"] = _with(
+        "series",
+        f"""WITH t AS MATERIALIZED (SELECT *, CAST({NUM} % 5 AS int) AS fold FROM series WHERE split = 'train'),
+        sc AS (SELECT f.fold, {mean} FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY f.fold)
+        SELECT well_id, row_idx, t.fold, {scaled}, round(tvt, 6) AS tvt_back FROM t JOIN sc ON sc.fold = t.fold""",
+    )
+    return sql
+
+
+def _tables() -> dict[str, str]:
+    sql = {}
+    facts = """facts AS MATERIALIZED (SELECT split, well_id, 'horizontal_well' AS kind, count(*) AS rows FROM series GROUP BY split, well_id
+        UNION ALL SELECT split, r.well_id, 'typewell', count(*) FROM reference r JOIN (SELECT DISTINCT well_id, split FROM series) s USING (well_id) GROUP BY split, r.well_id),
+        w AS (SELECT split, well_id, string_agg(kind, '+' ORDER BY kind) AS kinds, count(*) AS files FROM facts GROUP BY split, well_id)"""
+    lines = [
+        "SELECT split, 'totals' AS section, 'all' AS key, 'csv_files' AS metric, CAST(sum(files) AS bigint) AS value FROM w GROUP BY split",
+        "SELECT split, 'totals', 'all', 'unique_wells', count(*) FROM w GROUP BY split",
+        "SELECT split, 'well_kinds', kinds, 'wells', count(*) FROM w GROUP BY split, kinds",
+    ]
+    for m, e in (("count", "count(*)"), ("min", "min(rows)"), ("median", "CAST(floor(median(rows)) AS bigint)"), ("max", "max(rows)")):
+        lines.append(f"SELECT split, 'rows', kind, '{m}', {e} FROM facts GROUP BY split, kind")
+    sql["inventory"] = _with("series reference", f"WITH {facts} {' UNION ALL '.join(lines)}")
+    sql["oof_roundtrip"] = _with("oof", "SELECT well_id, row_idx, fold, y_true, y_pred, baseline FROM oof")
+    sql["parse_id"] = _with(
+        "series",
+        """SELECT well_id || '_' || row_idx AS id, well_id, CAST(row_idx AS varchar) AS row_idx FROM series
+        WHERE split = 'test' AND tvt_input IS NULL""".replace("CAST(row_idx AS varchar) AS row_idx", "row_idx"),
+    )
+    sql["nonfinite_report"] = _with(
+        "series",
+        """SELECT count(*) AS n_rows, count(*) FILTER (WHERE gr IS NULL) AS n_null, count(*) FILTER (WHERE gr = 30) AS n_nan,
+        count(*) FILTER (WHERE gr = 149) AS n_inf, count(*) FILTER (WHERE gr IS NOT NULL AND gr <> 30 AND gr <> 149) AS n_finite FROM series""",
+    )
+    sql["id_violations"] = _with(
+        "anchors",
+        """SELECT CASE WHEN row_idx % 7 = 0 THEN well_id || '_x' ELSE well_id || '_' || row_idx END AS id,
+        CASE WHEN row_idx % 7 = 0 THEN 'malformed id' ELSE 'target known' END AS violation FROM series
+        WHERE row_idx % 7 = 0 OR tvt_input IS NOT NULL
+        UNION ALL SELECT well_id || '_' || n, 'row missing' FROM anchors""",
+    )
+    ids = f"""ids AS MATERIALIZED (SELECT well_id || '_' || row_idx AS id, well_id, row_idx,
+        {NUM} * 1000000 + row_number() {W} - 1 AS pos FROM series WHERE split = 'test' AND tvt_input IS NULL)"""
+    sql["predict_join"] = _with(
+        "cut",
+        f"""WITH {ids} SELECT id, pos, round(last_known + (md - md_cut) / 32, 6) AS model FROM ids JOIN series USING (well_id, row_idx)
+        JOIN cut USING (well_id)""".replace("round(last_known + (md - md_cut) / 32, 6)", "last_known + (md - md_cut) / 32"),
+    )
+    sql["naive_predict"] = _with(
+        "anchors",
+        f"""WITH {ids} SELECT id, coalesce(last_known, (SELECT median(tvt) FROM series WHERE split = 'train')) AS tvt
+        FROM ids JOIN anchors USING (well_id)""",
+    )
+    sql["validate_output"] = _with(
+        "series",
+        f"""WITH {ids}, v AS (SELECT count(*) FILTER (WHERE pos % 50 = 3) AS i, count(*) FILTER (WHERE pos % 50 = 5) AS q,
+          count(*) FILTER (WHERE pos % 50 = 7) AS f FROM ids)
+        SELECT 'columns' AS "check", CAST(0 AS bigint) AS violations UNION ALL SELECT 'row_count', 0
+        UNION ALL SELECT 'id_order', i FROM v UNION ALL SELECT 'not_numeric', q FROM v UNION ALL SELECT 'not_finite', f FROM v""",
+    )
+    sql["set_ops"] = _with(
+        "series",
+        """WITH a AS (SELECT DISTINCT well_id FROM series WHERE ancc IS NOT NULL), b AS (SELECT DISTINCT well_id FROM series WHERE split = 'train')
+        SELECT 'both' AS side, well_id AS key FROM a WHERE well_id IN (FROM b)
+        UNION ALL SELECT 'left_only', well_id FROM a WHERE well_id NOT IN (FROM b)
+        UNION ALL SELECT 'right_only', well_id FROM b WHERE well_id NOT IN (FROM a)""",
+    )
+    sql["union_splits"] = _with(
+        "series",
+        "SELECT well_id, row_idx, split, md, gr, CASE WHEN split = 'train' THEN tvt END AS tvt FROM series",
+    )
+    geo = f"""SELECT well_id, row_idx, md, x, y, z, gr,
+        round(CASE WHEN max(md) OVER g > min(md) OVER g THEN (md - min(md) OVER g) / (max(md) OVER g - min(md) OVER g) ELSE 0 END, 6) AS md_relative,
+        md - md_cut AS md_since_ps, x - x_cut AS dx_since_ps, y - y_cut AS dy_since_ps, z - z_cut AS dz_since_ps,
+        round(sqrt((x - x_cut) ** 2 + (y - y_cut) ** 2), 6) AS dxy_since_ps,
+        round(CASE WHEN row_idx >= ps AND n - ps > 1 THEN (row_idx - ps) / CAST(n - ps - 1 AS double) ELSE 0 END, 6) AS frac_after_ps,
+        round(coalesce((x - lag(x) {W}) / nullif(md - lag(md) {W}, 0), 0), 6) AS dxdmd,
+        round(coalesce((y - lag(y) {W}) / nullif(md - lag(md) {W}, 0), 0), 6) AS dydmd,
+        round(coalesce((z - lag(z) {W}) / nullif(md - lag(md) {W}, 0), 0), 6) AS dzdmd,
+        round({_roll('gr', 50, 50)}, 6) AS gr_roll_mean_101, round({_roll('gr', 50, 50, 'stddev_samp')}, 6) AS gr_roll_std_101,
+        round(coalesce(sum(gr * gr) {W}, 0) / greatest(count(gr) {W}, 1), 6) AS gr_energy
+        FROM series JOIN cut USING (well_id) WINDOW g AS (PARTITION BY well_id)"""
+    sql["feature_table"] = _with("cut", geo)
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**_anchors(), **_windows()}
+    return {
+        **_anchors(),
+        **_windows(),
+        **_references(),
+        **_neighbours(),
+        **_metrics(),
+        **_folds(),
+        **_tables(),
+    }
