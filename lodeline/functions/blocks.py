@@ -53,8 +53,13 @@ def running() -> WindowSpec:
     return rows().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def remaining() -> WindowSpec:
-    return rows().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def onward() -> WindowSpec:
+    """From the end of the block back to the current row.
+
+    Read in descending order, as Spark would start a frame with a moving start over for every row. The nearest
+    later row is the last of the frame.
+    """
+    return Window.partitionBy(*KEYS).orderBy(F.desc("row_idx")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def earlier_blocks() -> WindowSpec:
@@ -63,7 +68,8 @@ def earlier_blocks() -> WindowSpec:
 
 
 def later_blocks() -> WindowSpec:
-    return Window.partitionBy("well_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    """All blocks after this one, the nearest last."""
+    return Window.partitionBy("well_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def block_totals(df: DataFrame, size: int | None = None, **aggs: Column) -> DataFrame:

@@ -75,8 +75,8 @@ def smooth(
         .groupBy("well_id")
         .agg(
             F.max("n").alias("n_rows"),
-            F.array_sort(F.collect_list(F.when(is_head, cell))).alias("_head"),
-            F.array_sort(F.collect_list(F.when(is_tail, cell))).alias("_tail"),
+            F.sort_array(F.collect_list(F.when(is_head, cell))).alias("_head"),
+            F.sort_array(F.collect_list(F.when(is_tail, cell))).alias("_tail"),
         )
     )
     blocked = spread(placed, half, half, size).join(per_block(ends, size, "n_rows"), KEYS)

@@ -19,6 +19,7 @@ from lodeline.functions.blocks import (
     frame,
     is_home,
     later_blocks,
+    onward,
     per_block,
     rows,
     running,
@@ -294,12 +295,10 @@ def interpolate_gaps(
         every.join(back, KEYS, "left")
         .join(ahead, KEYS, "left")
         .withColumn("_b", F.last("_b", ignorenulls=True).over(earlier_blocks()))
-        .withColumn("_a", F.first("_a", ignorenulls=True).over(later_blocks()))
+        .withColumn("_a", F.last("_a", ignorenulls=True).over(later_blocks()))
     )
-    upto = rows().rowsBetween(Window.unboundedPreceding, 0)
-    onward = rows().rowsBetween(0, Window.unboundedFollowing)
-    prev = F.coalesce(F.last(known, ignorenulls=True).over(upto), F.col("_b"))
-    nxt = F.coalesce(F.first(known, ignorenulls=True).over(onward), F.col("_a"))
+    prev = F.coalesce(F.last(known, ignorenulls=True).over(running()), F.col("_b"))
+    nxt = F.coalesce(F.last(known, ignorenulls=True).over(onward()), F.col("_a"))
     work = spread(df, radius, radius, size).join(every, KEYS).withColumns({"_p": prev, "_n": nxt})
     share = F.try_divide(F.col("row_idx") - F.col("_p.row_idx"), F.col("_n.row_idx") - F.col("_p.row_idx"))
     lerp = F.col("_p.gr") + (F.col("_n.gr") - F.col("_p.gr")) * share
@@ -402,6 +401,6 @@ def continuity(df: DataFrame, value: str, limit: float = 30.0, show: int = 10, s
         in_block.withColumn("_r", F.row_number().over(per_series))
         .filter(F.col("_r") <= show)
         .groupBy("well_id")
-        .agg(F.array_join(F.array_sort(F.collect_list("row_idx")), ",").alias("first_over"))
+        .agg(F.array_join(F.sort_array(F.collect_list("row_idx")), ",").alias("first_over"))
     )
     return totals.join(first_rows, "well_id", "left").withColumn("first_over", F.coalesce("first_over", F.lit("")))

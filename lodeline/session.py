@@ -19,6 +19,7 @@ def session(name: str = "lodeline", cores: int = 8, memory: str = "16g") -> Spar
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -64,3 +65,8 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lodeline/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def task_count(spark: SparkSession, items: int, per_task: int) -> int:
+    """Partitions for work whose cost lies in computation rather than bytes, so that AQE must not merge it."""
+    return max(spark.sparkContext.defaultParallelism, -(-items // per_task))
