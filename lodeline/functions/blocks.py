@@ -84,4 +84,13 @@ def per_block(per_series: DataFrame, size: int | None = None, rows_col: str = "n
     partitioned the way the following windows need them.
     """
     last = F.floor((F.col(rows_col) - 1) / (size or BLOCK_ROWS))
-    return per_series.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return small_side(per_series.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))))
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Mark the table of one row per block as the one to hash in a join on ``(well_id, block)``.
+
+    Both sides are then partitioned by block once, which the windows that follow reuse. Nothing is broadcast, as
+    the number of series has no bound, and the rows are sorted only for the windows.
+    """
+    return df.hint("shuffle_hash")

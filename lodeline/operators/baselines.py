@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.blocks import KEYS, block_totals, earlier_blocks, per_block, running, spread
+from lodeline.functions.blocks import KEYS, block_totals, earlier_blocks, per_block, running, small_side, spread
 from lodeline.operators.anchors import anchors, at_last_known
 
 METHODS = ["flat", "slope_md", "slope_z", "slope_recent", "wls"]
@@ -73,7 +73,7 @@ def _recent_slopes(df: DataFrame, recent_window: int, decay: float, size: int |
     ).filter(F.col("_earlier") + F.col("_k") > F.col("_known") - recent_window)
     known = spread(df.filter("tvt_input IS NOT NULL").select("well_id", "row_idx", "md", "tvt_input"), size=size)
     ranked = (
-        known.join(counted, KEYS)
+        known.join(small_side(counted), KEYS)
         .withColumn("_rank", F.col("_earlier") + F.count("*").over(running()))
         .withColumn("_count", F.least(F.lit(recent_window), F.col("_known")))
         .withColumn("_age", F.col("_rank") - 1 - (F.col("_known") - F.col("_count")))

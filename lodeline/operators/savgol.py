@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.blocks import BLOCK_ROWS, KEYS, block_of, earlier_blocks, per_block, rows, settle, spread
+from lodeline.functions.blocks import BLOCK_ROWS, KEYS, block_of, earlier_blocks, per_block, rows, settle, small_side, spread
 from lodeline.functions.quantiles import quantiles
 from lodeline.functions.scalars import clip
 
@@ -44,7 +44,7 @@ def with_position(df: DataFrame, size: int | None = None) -> DataFrame:
     spans = ends.withColumn("_rows", F.col("_last") + 1)
     blocked = spread(df, size=size)
     if gaps.isEmpty():
-        known = per_block(spans, size, "_rows").select(*KEYS, "_first", "n")
+        known = small_side(per_block(spans, size, "_rows").select(*KEYS, "_first", "n"))
         return blocked.join(known, KEYS).withColumn("pos", F.col("row_idx") - F.col("_first")).drop("block", "_first")
     totals = df.groupBy("well_id", block_of(size).alias("block")).agg(F.count("*").alias("_k"))
     carry = totals.select(
@@ -52,7 +52,7 @@ def with_position(df: DataFrame, size: int | None = None) -> DataFrame:
         F.coalesce(F.sum("_k").over(earlier_blocks()), F.lit(0)).alias("_before"),
         F.sum("_k").over(Window.partitionBy("well_id")).alias("n"),
     )
-    ranked = blocked.withColumn("_i", F.row_number().over(rows()) - 1).join(carry, KEYS)
+    ranked = blocked.withColumn("_i", F.row_number().over(rows()) - 1).join(small_side(carry), KEYS)
     return ranked.withColumn("pos", (F.col("_i") + F.col("_before")).cast("int")).drop("block", "_i", "_before")
 
 

@@ -24,6 +24,7 @@ from lodeline.functions.blocks import (
     rows,
     running,
     settle,
+    small_side,
     spread,
 )
 from lodeline.functions.scalars import clip, safe_divide
@@ -77,7 +78,7 @@ def build(df: DataFrame, families: list[Family], keep: list[str] = (), size: int
         blocked = blocked.join(per_block(per_series, size), KEYS)
     carry = {n: c for f in families for n, c in f.carry.items()}
     if carry:
-        blocked = blocked.join(_carried(df, carry, before, size), KEYS)
+        blocked = blocked.join(small_side(_carried(df, carry, before, size)), KEYS)
     for depth in range(max(len(f.steps) for f in families)):
         level = {n: c for f in families if depth < len(f.steps) for n, c in f.steps[depth].items()}
         blocked = blocked.withColumns(level)
@@ -299,7 +300,7 @@ def interpolate_gaps(
     )
     prev = F.coalesce(F.last(known, ignorenulls=True).over(running()), F.col("_b"))
     nxt = F.coalesce(F.last(known, ignorenulls=True).over(onward()), F.col("_a"))
-    work = spread(df, radius, radius, size).join(every, KEYS).withColumns({"_p": prev, "_n": nxt})
+    work = spread(df, radius, radius, size).join(small_side(every), KEYS).withColumns({"_p": prev, "_n": nxt})
     share = F.try_divide(F.col("row_idx") - F.col("_p.row_idx"), F.col("_n.row_idx") - F.col("_p.row_idx"))
     lerp = F.col("_p.gr") + (F.col("_n.gr") - F.col("_p.gr")) * share
     work = work.withColumn("gr_filled", F.coalesce(F.col("gr"), lerp, F.col("_first"), F.col("fill")))
@@ -335,7 +336,7 @@ def integrate_derivative(df: DataFrame, slope: str, start: str, size: int | None
     steps = blocked.withColumn("_inc", F.col(slope) * step).filter(is_home(size))
     totals = steps.groupBy(*KEYS).agg(F.sum("_inc").alias("_t"))
     carry = totals.select(*KEYS, F.coalesce(F.sum("_t").over(earlier_blocks()), F.lit(0.0)).alias("_c"))
-    out = steps.join(carry, KEYS).withColumn(
+    out = steps.join(small_side(carry), KEYS).withColumn(
         "tvt_integrated", F.col(start) + F.col("_c") + F.sum("_inc").over(running())
     )
     return out.select("well_id", "row_idx", "tvt_integrated")

@@ -58,7 +58,7 @@ def _derive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("q", F.sum("q").over(upto))
         .withColumn("dx", F.sum("dx").over(upto))
         .withColumn("dy", F.sum("dy").over(upto))
-        .join(carry, ["sk", "week"])
+        .join(carry.hint("shuffle_hash"), ["sk", "week"])
         .select(
             "sk",
             "ln",
