@@ -403,7 +403,7 @@ def queries() -> dict[str, Query]:
         "formation_plane": _formation_plane,
         "fold_features": _fold_features,
         # alignment
-        "wavelet": on_series(wavelet.wavelet_features),
+        "wavelet": on_series(wavelet.wavelet_features, 5),
         "dtw_align": pair(align.dtw_features),
         "beam_align": pair(align.beam_align),
         "beam_features": pair(align.beam_features),

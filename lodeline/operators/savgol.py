@@ -261,5 +261,5 @@ def grid_search(
 
 
 def top_settings(scores: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` best settings, the report the search prints."""
-    return scores.orderBy("rmse", "setting").limit(k)
+    """The ``k`` best settings, the report the search prints; errors equal to nine digits keep the grid's order."""
+    return scores.orderBy(F.round("rmse", 9), "setting").limit(k)

@@ -575,6 +575,63 @@ def _neighbours() -> dict[str, str]:
     return sql
 
 
+# The low-pass taps of the wavelet.
+TAPS = [
+    -0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309,
+    -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965,
+]
+
+
+def _wavelet() -> str:
+    """Detail coefficients inside the window come from one filtered copy of the signal, summed over every other row.
+
+    Those that reach over an end of the window, and the two that rebuild its last value, are worked out per row with
+    the ends mirrored.
+    """
+    high = [TAPS[7 - j] * (-1 if j % 2 == 0 else 1) for j in range(8)]
+    inner = " + ".join(f"{h!r} * lag(v, {j}) {W}" for j, h in enumerate(high))
+    taps = ", ".join(f"({j}, {TAPS[j]!r}, {high[j]!r})" for j in range(8))
+    back = "CASE " + " ".join(f"WHEN m = {j} THEN {TAPS[7 - j]!r}" for j in range(8)) + " ELSE 0e0 END"
+    half = "OVER (PARTITION BY well_id ORDER BY i ROWS BETWEEN 248 PRECEDING AND 1 PRECEDING)"
+    return f"""WITH v AS MATERIALIZED (SELECT well_id, row_idx, row_idx AS i, coalesce(gr, 0) AS v FROM series),
+    d AS (SELECT well_id, i, v, ({inner}) ** 2 AS d2 FROM v),
+    r AS MATERIALIZED (SELECT *, greatest(0, i - 255) AS lo, least(i + 1, 256) AS n, (least(i + 1, 256) + 7) // 2 AS k_all,
+       CASE WHEN (greatest(0, i - 255) + 1) % 2 = 0 THEN sum(CASE WHEN i % 2 = 0 THEN d2 END) {half}
+            ELSE sum(CASE WHEN i % 2 = 1 THEN d2 END) {half} END AS inside FROM d),
+    e AS (SELECT well_id, i, lo, n, k FROM r, range(0, 134) t(k) WHERE i >= 15 AND k < k_all AND (k <= 2 OR lo + 2 * k + 1 >= i)),
+    x AS (SELECT *, lo + 2 * k + 1 - j AS spot FROM e, (VALUES {taps}) w(j, l, h)),
+    y AS (SELECT *, CASE WHEN spot < lo THEN 2 * lo - 1 - spot WHEN spot > i THEN 2 * i + 1 - spot ELSE spot END AS src FROM x),
+    c AS (SELECT y.well_id, y.i, y.k, any_value(n) + 5 - 2 * y.k AS m, sum(l * v.v) AS ca, sum(h * v.v) AS cd
+       FROM y JOIN v ON v.well_id = y.well_id AND v.i = y.src GROUP BY y.well_id, y.i, y.k),
+    s AS (SELECT well_id, i, sum(cd * cd) AS outside, sum(({back}) * ca) AS approx FROM c GROUP BY well_id, i)
+    SELECT r.well_id, CAST(r.i AS int) AS row_idx, round(coalesce(approx, v), 5) AS gr_dwt_approx,
+      round(coalesce((outside + coalesce(inside, 0)) / k_all, 0), 5) AS gr_dwt_detail_energy
+    FROM r LEFT JOIN s ON s.well_id = r.well_id AND s.i = r.i"""
+
+
+def _grid_sql(source: str, order: list, bounds: dict, with_: str) -> str:
+    """Scores of smoothing and clipping settings, one table per clip and one sum per setting."""
+    ctes, scores = [], []
+    for name, (lo, hi) in bounds.items():
+        ctes.append(f"c_{name} AS MATERIALIZED (SELECT well_id, row_idx, t, greatest({lo}, least({hi}, p)) AS p FROM {source})")
+    ctes.append(f"c_none AS MATERIALIZED (SELECT well_id, row_idx, t, p FROM {source})")
+    for i, (w, p, b) in enumerate(order):
+        table = f"c_{b or 'none'}"
+        src = _smooth(table, "p", w, p) if w else f"SELECT well_id, row_idx, p AS v FROM {table}"
+        lo, hi = bounds[b] if b else ("NULL", "NULL")
+        scores.append(
+            f"""SELECT {i} AS setting, CAST({w or 'NULL'} AS int) AS "window", {p} AS polyorder, CAST({lo} AS double) AS lower,
+            CAST({hi} AS double) AS upper, 'clip_smooth' AS apply_order,
+            (SELECT sqrt(avg((t - v) ** 2)) FROM {source} JOIN ({src}) USING (well_id, row_idx)) AS rmse"""
+        )
+    return f"""WITH {with_}, {', '.join(ctes)}, g AS MATERIALIZED ({' UNION ALL '.join(scores)}),
+        b AS (SELECT arg_min(setting, rmse) AS best, min(rmse) AS best_rmse, max(rmse) FILTER (WHERE setting = 0) AS raw,
+              max(rmse) FILTER (WHERE setting = 1) AS def FROM g)
+        SELECT setting, "window", polyorder, round(lower, 4) AS lower, round(upper, 4) AS upper, apply_order, round(rmse, 4) AS rmse,
+        round(rmse - raw, 4) AS delta_vs_raw, round(rmse - def, 4) AS delta_vs_default,
+        setting = CASE WHEN def - best_rmse < 0.01 THEN 1 ELSE best END AS chosen FROM g, b"""
+
+
 def _metrics() -> dict[str, str]:
     sql = {}
     tr = "(SELECT * FROM series WHERE split = 'train')"
@@ -717,30 +774,19 @@ def _metrics() -> dict[str, str]:
     sql["postprocess"] = _with(
         "oof", f"WITH {full} SELECT well_id, row_idx, round(v, 4) AS tvt FROM ({_smooth('full_oof', 'pc', 31, 2)})"
     )
-    ctes, scores, setting = [], [], 0
-    bounds = [(None, None), (5100.0, 5300.0), (5050.0, 5400.0)]
-    order = [(None, None)] + [(31, None)] + [(w, None) for w in (5, 11)]
-    order += [(None, b) for b in bounds[1:]] + [(w, b) for w in (5, 11, 31) for b in bounds[1:]]
-    for w, b in order:
-        lo, hi = b or (None, None)
-        clipped = f"greatest({lo}, least({hi}, p))" if b else "p"
-        ctes.append(f"c{setting} AS (SELECT well_id, row_idx, t, {clipped} AS p FROM full_oof)")
-        src = _smooth(f"c{setting}", "p", w, 2) if w else f"SELECT well_id, row_idx, p AS v FROM c{setting}"
-        null = "NULL"
-        scores.append(
-            f"""SELECT {setting} AS setting, {w or 'CAST(NULL AS int)'} AS "window", {2 if w else 0} AS polyorder,
-            CAST({lo if b else null} AS double) AS lower, CAST({hi if b else null} AS double) AS upper, 'clip_smooth' AS apply_order,
-            (SELECT sqrt(avg((t - v) ** 2)) FROM full_oof JOIN ({src}) USING (well_id, row_idx)) AS rmse"""
-        )
-        setting += 1
-    sql["postproc_grid"] = _with(
-        "oof",
-        f"""WITH {full}, {', '.join(ctes)}, g AS MATERIALIZED ({' UNION ALL '.join(scores)}),
-        b AS (SELECT arg_min(setting, rmse) AS best, min(rmse) AS best_rmse, max(rmse) FILTER (WHERE setting = 0) AS raw,
-              max(rmse) FILTER (WHERE setting = 1) AS def FROM g)
-        SELECT setting, "window", polyorder, lower, upper, apply_order, round(rmse, 4) AS rmse, round(rmse - raw, 4) AS delta_vs_raw,
-        round(rmse - def, 4) AS delta_vs_default, setting = CASE WHEN def - best_rmse < 0.01 THEN 1 ELSE best END AS chosen FROM g, b""",
-    )
+    small = {"a": ("5100.0e0", "5300.0e0"), "b": ("5050.0e0", "5400.0e0")}
+    order = [(None, 0, None), (31, 2, None), (5, 2, None), (11, 2, None), (None, 0, "a"), (None, 0, "b")]
+    order += [(w, 2, b) for w in (5, 11, 31) for b in small]
+    sql["postproc_grid"] = _with("oof", _grid_sql("full_oof", order, small, full))
+    limits = {
+        f"l{i}": (f"(SELECT quantile_cont(tvt, {_frac(a)}) FROM {tr})", f"(SELECT quantile_cont(tvt, {_frac(b)}) FROM {tr})")
+        for i, (a, b) in enumerate(BOUNDS)
+    }
+    smoothers = [(w, p) for w in (5, 11, 17, 25, 31, 41, 51) for p in (2, 3)]
+    order = [(None, 0, None), (31, 2, None)] + [(w, p, None) for w, p in smoothers if (w, p) != (31, 2)]
+    order += [(None, 0, b) for b in limits] + [(w, p, b) for w, p in smoothers for b in limits]
+    sql["top_configs"] = _with("oof", _grid_sql("full_oof", order, limits, full) + " ORDER BY round(g.rmse, 9), setting LIMIT 15")
+    sql["wavelet"] = _with("series", _wavelet())
     return sql
 
 
