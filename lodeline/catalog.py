@@ -153,8 +153,8 @@ def training_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     per = A.last_known(df).join(folds.group_folds(folds.series_sizes(df), 3), "well_id")
     rows = table.filter("tvt_input IS NULL AND tvt IS NOT NULL").join(per, "well_id")
     return rows.withColumns(
-        {"baseline": F.col("last_known"), "y": F.col("tvt") - F.col("last_known")}
-    ).select("well_id", "row_idx", "fold", "y", "baseline", *columns), columns
+        {"baseline": F.col("last_known"), "target": F.col("tvt") - F.col("last_known")}
+    ).select("well_id", "row_idx", "fold", "target", "baseline", *columns), columns
 
 
 SMALL_MODEL = dict(trees=5, depth=3)

@@ -176,11 +176,11 @@ def _windows() -> dict[str, str]:
         "egfdl": (93.0, 22.2), "buda": (41.4, 15.4), "mnss": (131.1, 27.5), "egfdu": (69.5, 15.8),
         "astnl": (53.7, 24.2), "lthl": (84.0, 14.6), "ltgt": (75.3, 10.4), "clayrich": (120.9, 26.8),
     }
-    zs = ", ".join(f"round((coalesce(gr, 0) - {m}e0) / ({s}e0 + 1e-6), 6) AS geol_gr_zscore_{f}" for f, (m, s) in stats.items())
+    zs = ", ".join(f"round((coalesce(gr, 0) - {m}e0) / ({s}e0 + 1e-6), 6) + 0 AS geol_gr_zscore_{f}" for f, (m, s) in stats.items())
     sql["zscores"] = _with(
         "series",
         f"""SELECT well_id, row_idx, {zs}, round(avg((coalesce(gr, 0) - 93e0) / (22.2e0 + 1e-6))
-        OVER (PARTITION BY well_id ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS geol_gr_zscore_roll20
+        OVER (PARTITION BY well_id ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) + 0 AS geol_gr_zscore_roll20
         FROM series""",
     )
     fills, shifted, outs = [], [], []
