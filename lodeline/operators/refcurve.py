@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.blocks import KEYS, per_block, settle, spread
+from lodeline.functions.blocks import BLOCK_ROWS, KEYS, per_block, settle, small_side, spread
 from lodeline.functions.scalars import is_finite
 from lodeline.operators.anchors import anchors, join_anchors
 
@@ -30,6 +30,14 @@ def summary(reference: DataFrame, **extra: Column) -> DataFrame:
     )
 
 
+def curve_with(reference: DataFrame, per_series: DataFrame) -> DataFrame:
+    """Curve rows with the constants of their series, joined block by block as a curve may be long."""
+    rows = reference.groupBy("well_id").agg((F.max("tw_idx") + 1).alias("_m"))
+    small = per_block(per_series.join(rows, "well_id"), rows_col="_m").drop("_m")
+    blocked = reference.withColumn("block", F.floor(F.col("tw_idx") / BLOCK_ROWS))
+    return blocked.join(small_side(small), KEYS).drop("block")
+
+
 def interpolate_at(reference: DataFrame, points: DataFrame, queries: dict[str, Column]) -> DataFrame:
     """Signal of the curve at each query value, linear between neighbours and constant beyond the ends.
 
@@ -46,7 +54,7 @@ def interpolate_at(reference: DataFrame, points: DataFrame, queries: dict[str, C
             F.max(F.when(F.col("tvt") <= q, here)).alias(f"_lo{i}"),
             F.min(F.when(F.col("tvt") >= q, here)).alias(f"_hi{i}"),
         ]
-    found = reference.join(asked, "well_id").groupBy("well_id").agg(*aggs)
+    found = curve_with(reference, asked).groupBy("well_id").agg(*aggs)
 
     def lerp(i: int) -> Column:
         lo, hi, q = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_q{i}")
@@ -69,7 +77,7 @@ def _offset_name(o: int) -> str:
 
 def nearest_asof(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Curve row nearest to the last known target; the lower row wins a tie."""
-    joined = reference.join(anchors(df).select("well_id", "last_known"), "well_id")
+    joined = curve_with(reference, anchors(df).select("well_id", "last_known"))
     gap = F.abs(F.col("tvt") - F.col("last_known"))
     return (
         joined.groupBy("well_id")
@@ -82,7 +90,7 @@ def band_join(df: DataFrame, reference: DataFrame, half_width: float = 300.0) ->
     """Curve rows within ``half_width`` of the last known target."""
     centre = anchors(df).select("well_id", "last_known")
     near = F.col("tvt").between(F.col("last_known") - half_width, F.col("last_known") + half_width)
-    return reference.join(centre, "well_id").filter(near).select("well_id", "tw_idx", "tvt", "gr")
+    return curve_with(reference, centre).filter(near).select("well_id", "tw_idx", "tvt", "gr")
 
 
 def residuals(
@@ -138,10 +146,10 @@ def window_match(
         .join(per_block(per_series, block), KEYS)
         .select(*KEYS, "row_idx", signal.alias("gr"), F.col(anchor).alias("anchor"), "n", "ps")
     )
-    curve_rows = F.max("tw_idx") + 1
-    curve = reference.join(
-        reference.groupBy("well_id").agg(curve_rows.alias("m")).filter("m >= 3").select("well_id", "m"), "well_id"
-    ).select("well_id", F.col("tw_idx").alias("row_idx"), "tvt", signal.alias("gr"))
+    long_enough = reference.groupBy("well_id").agg(F.count("*").alias("m")).filter("m >= 3").select("well_id")
+    curve = curve_with(reference, long_enough).select(
+        "well_id", F.col("tw_idx").alias("row_idx"), "tvt", signal.alias("gr")
+    )
     # A window starting in a curve block may run 2 * window rows into the next one.
     curve = spread(curve, 0, 2 * window, block).withColumnRenamed("block", "curve_block")
 
