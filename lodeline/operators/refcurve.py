@@ -218,20 +218,23 @@ def best_windows(gr, rows_, n, home, anchor, cgr, ctvt, cidx, end, window, band,
     a = np.searchsorted(ctvt, anchor[home] - band, "left")
     b = np.searchsorted(ctvt, anchor[home] + band, "right") - length  # last start that fits
     b = np.minimum(b, np.searchsorted(cidx, end, "left") - 1)
-    ok = (length >= 3) & (b >= a)
-    for size in np.unique(length[ok]):
-        same = np.flatnonzero(ok & (length == size))
-        for k in range(0, len(same), batch):
-            part = same[k : k + batch]
-            s0, s1 = a[part].min(), b[part].max() + 1
-            dist = np.zeros((len(part), s1 - s0))
-            for j in range(size):
-                dist += np.abs(cgr[s0 + j : s1 + j][None, :] - gr[first[part] + j][:, None])
-            pos = np.arange(s0, s1)[None, :]
-            dist[(pos < a[part][:, None]) | (pos > b[part][:, None])] = np.inf
-            best = dist.argmin(axis=1)
-            sad[part] = dist[np.arange(len(part)), best]
-            start[part] = cidx[s0 + best]
-            centre[part] = ctvt[s0 + best + size // 2]
+    ok = np.flatnonzero((length >= 3) & (b >= a))
+    # Longest windows first: the rows that still have a j-th value are then the first ones of a batch. Batches of
+    # rows with near anchors look at few starts.
+    ok = ok[np.lexsort((a[ok], -length[ok]))]
+    padded = np.concatenate([cgr, np.zeros(2 * window + 1)])
+    for k in range(0, len(ok), batch):
+        part = ok[k : k + batch]
+        s0, s1 = a[part].min(), b[part].max() + 1
+        size = length[part]
+        dist = np.zeros((len(part), s1 - s0))
+        for j in range(size[0]):
+            live = np.searchsorted(-size, -j, "left")
+            dist[:live] += np.abs(padded[s0 + j : s1 + j][None, :] - gr[first[part[:live]] + j][:, None])
+        pos = np.arange(s0, s1)[None, :]
+        dist[(pos < a[part][:, None]) | (pos > b[part][:, None])] = np.inf
+        best = dist.argmin(axis=1)
+        sad[part] = dist[np.arange(len(part)), best]
+        start[part] = cidx[s0 + best]
+        centre[part] = ctvt[s0 + best + size // 2]
     return start, sad, centre
-

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, str], str] = {}
+_own_folder: dict[str, str] = {}
 
 
 def session(name: str = "lodeline", cores: int = 8, memory: str = "16g") -> SparkSession:
@@ -39,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lodeline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="lodeline-")
+    return _own_folder[app]
 
 
 def written_once(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
