@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MAX_TASKS = 1 << 16
 _written: dict[tuple[str, str], str] = {}
 _own_folder: dict[str, str] = {}
 
@@ -70,4 +71,4 @@ def stage(df: DataFrame) -> DataFrame:
 
 def task_count(spark: SparkSession, items: int, per_task: int) -> int:
     """Partitions for work whose cost lies in computation rather than bytes, so that AQE must not merge it."""
-    return max(spark.sparkContext.defaultParallelism, -(-items // per_task))
+    return min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, -(-items // per_task)))
