@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 FORMATIONS = ["ancc", "astnu", "astnl", "egfdu", "egfdl", "buda"]
 
 SERIES = """
@@ -82,7 +84,8 @@ def _with(parts: str, body: str) -> str:
     for p in parts.split():
         add(p)
     ctes = [PARTS[p] for p in order]
-    body = body.strip()
+    # Adding 0 turns a rounded -0.0 into 0.0.
+    body = re.sub(r", ([456])\) AS ", r", \1) + 0 AS ", body.strip())
     if body.upper().startswith("WITH "):
         return "WITH RECURSIVE " + ",".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",".join(ctes) + "\n" + body
