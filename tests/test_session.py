@@ -37,3 +37,26 @@ def test_written_once(spark):
 def test_task_count(spark):
     cores = spark.sparkContext.defaultParallelism
     assert session.task_count(spark, 1, 10) == cores and session.task_count(spark, 10_000, 10) == 1000
+
+
+def test_task_functions_need_no_package_on_the_workers(tmp_path):
+    """A worker that cannot import the package still loads and runs what is sent to it."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lodeline.operators import align, folds, knn, refcurve, savgol, wavelet
+
+    sent = [knn.nearest_points, knn.cells_in_reach, refcurve.best_windows, savgol.apply_setting, folds._turn,
+            align.cost_tiles, align.beam_run, align.beam_path]
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((wavelet.trailing_features, sent)))
+    code = (
+        "import pickle, sys, numpy as np\n"
+        "f, sent = pickle.load(open('f.pkl', 'rb'))\n"
+        "a, e = f(np.arange(40.0), np.arange(40), 32, 16)\n"
+        "assert len(a) == 40 and not any(m.startswith('lodeline') for m in sys.modules)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=60)
