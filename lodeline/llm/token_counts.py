@@ -54,7 +54,7 @@ def frequent_lengths(docs: DataFrame, content: bytes, rows: int = SAMPLE_ROWS, s
     out = {}, {}
     for lead, begin in ((" ", 0), ("", 1)):
         names = [r.chunk for r in top if r.begin == begin]
-        out[begin].update(zip(names, map(len, encoder._ids([lead + c for c in names]))))
+        out[begin].update(zip(names, map(len, encoder.ids([lead + c for c in names]))))
     return out
 
 

@@ -83,7 +83,7 @@ def write_tokens(docs: DataFrame, content: bytes, end_id: int, to: str | None =
                 continue
             if out is None:
                 out = _File(to, f"part-{part:06d}.bin")
-                encoder = Encoder(file.value, f"u{width}", as_bytes(f"<u{width}"), b"".join)
+                encoder = Encoder(file.value, f"u{width}", as_bytes(width), b"".join)
             ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
             _, offsets = text_buffer(batch.column(1))
             for i, j in row_ranges(offsets):

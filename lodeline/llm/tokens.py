@@ -10,14 +10,22 @@ text of a tokenizer with other rules.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Sequence
 from hashlib import sha256
 
-import numpy as np
-
 from lodeline.llm.common import worker_store
 
-CACHE = 1 << 20
+CACHE = 3 << 18
+#: Marks that, alone after a word, are a piece of their own.
+MARKS = ".,;:!?"
+
+
+def _byte_names() -> dict[int, str]:
+    """The characters that byte-level vocabularies use for bytes which are not printable in Latin-1."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def load(content: bytes):
@@ -39,59 +47,89 @@ def splits_at_spaces(content: bytes) -> bool:
     pre = x.get("pre_tokenizer") or {}
     plain = not x.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
     added = x.get("added_tokens") or []
-    return bool(plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in added))
+    plain = plain and (x.get("model") or {}).get("type") == "BPE"
+    odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in added)
+    lettered = any(all(c.isalpha() or c in MARKS for c in t["content"]) for t in added)
+    return bool(plain and not odd and not lettered)
+
+
+class _Cache(dict):
+    """Values of chunks, found when they are first asked for; at ``CACHE`` entries it starts again from the frequent ones."""
+
+    def __init__(self, frequent: dict, find: Callable[[str], object]):
+        super().__init__(frequent)
+        self.frequent, self.find = frequent, find
+
+    def __missing__(self, chunk: str):
+        value = self.find(chunk)
+        if len(self) >= CACHE:
+            self.clear()
+            self.update(self.frequent)
+        self[chunk] = value
+        return value
 
 
 class Encoder:
     """Values of texts, from the values of their chunks: ``value`` maps a list of ids to what is kept of it, ``join`` puts
-    the values of a text together. ``frequent`` holds values that the cache starts from and never loses."""
+    the values of a text together. ``frequent`` holds values that the caches start from and never lose, of chunks with a
+    space before them and of those that begin a line."""
 
-    def __init__(self, content: bytes, kind: str, value: Callable, join: Callable, frequent: tuple[dict, dict] | None = None):
+    def __init__(self, content: bytes, kind: str, value: Callable, join: Callable, frequent: tuple[dict, dict] = ({}, {})):
         self.tokenizer, key = load(content)
         self.value, self.join = value, join
-        self.frequent = frequent or ({}, {})
         self.chunked = splits_at_spaces(content)
-        # chunks with a space before them, and those that begin a line
-        store = worker_store()
-        self.after, self.begin = store.setdefault((key, kind), tuple(map(dict, self.frequent)))
-        self.feed = value(self._ids(["\n"])[0])
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+        if self.chunked:
+            self.names, self.model = _byte_names(), self.tokenizer.model
+            self.marks = {m: self.ids([m])[0] for m in MARKS}
+            self.feed = value(self.ids(["\n"])[0])
+            caches = (_Cache(frequent[0], self._after), _Cache(frequent[1], self._begin))
+            self.after, self.begin = worker_store().setdefault((key, kind), caches)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, cache: dict, first: dict, wanted: set[str], lead: str) -> None:
-        missing = [c for c in wanted if c not in cache]
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            cache.update(first)
-            missing = [c for c in wanted if c not in cache]
-        missing = [c for c in missing if c and not c[0].isspace() and not c[-1].isspace()]
-        for c, ids in zip(missing, self._ids([lead + c for c in missing])):
-            cache[c] = self.value(ids)
+    def _after(self, chunk: str):
+        return self._chunk(chunk, " ")
+
+    def _begin(self, chunk: str):
+        return self._chunk(chunk, "")
+
+    def _chunk(self, chunk: str, lead: str):
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Whole
+        mark = chunk[-1] if chunk[-1] in MARKS else ""
+        word = chunk[:-1] if mark else chunk
+        if word.isascii() and word.isalpha() or word.isalpha() and max(word) < "\u0250":
+            # one piece of letters, which the model can take without splitting it first
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+            ids = [t.id for t in self.model.tokenize((lead and self.names[0x20]) + plain)]
+            return self.value(ids + self.marks[mark] if mark else ids)
+        return self.value(self.tokenizer.encode(lead + chunk, add_special_tokens=False).ids)
 
     def __call__(self, texts: Sequence[str]) -> list:
         if not self.chunked:
-            return [self.join([self.value(ids)]) for ids in self._ids(list(texts))]
-        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self._fill(self.after, self.frequent[0], {c for lines in split for line in lines for c in line[1:]}, " ")
-        self._fill(self.begin, self.frequent[1], {line[0] for lines in split for line in lines}, "")
-        after, begin, feed, out, whole = self.after, self.begin, self.feed, [], []
-        for k, lines in enumerate(split):
+            return [self.join([self.value(ids)]) for ids in self.ids(list(texts))]
+        begin, after, feed, out = self.begin.__getitem__, self.after.__getitem__, self.feed, []
+        for text in texts:
             values = []
             try:
-                for line in lines:
-                    values.append(begin[line[0]])
-                    values.extend(map(after.__getitem__, line[1:]))
+                for line in text.split("\n"):
+                    first, *rest = line.split(" ")
+                    values.append(begin(first))
+                    values.extend(map(after, rest))
                     values.append(feed)
                 values.pop()
-                out.append(self.join(values))
-            except KeyError:
-                out.append(None)
-                whole.append(k)
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = self.join([self.value(ids)])
+            except _Whole:
+                values = [self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+            out.append(self.join(values))
         return out
 
 
-def as_bytes(kind: str) -> Callable[[list[int]], bytes]:
-    return lambda ids: np.array(ids, kind).tobytes()
+class _Whole(Exception):
+    """A chunk that cannot be encoded apart from its neighbours."""
+
+
+def as_bytes(width: int) -> Callable[[list[int]], bytes]:
+    """Packs ids as little-endian unsigned integers."""
+    letter = {2: "H", 4: "I"}[width]
+    return lambda ids: struct.pack(f"<{len(ids)}{letter}", *ids)
