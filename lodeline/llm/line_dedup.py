@@ -20,17 +20,16 @@ from lodeline.llm.common import SPACES, keep
 from lodeline.llm.seen import holds, twice_seen
 
 _STRIP = "".join(map(chr, SPACES))
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _key(line: str) -> str:
-    return line.strip(_STRIP).translate(_LOWER)
+def _digest(key: str) -> bytes:
+    return blake2b(key.encode().lower(), digest_size=16).digest()  # of bytes, lower() changes A-Z alone
 
 
 def _digests(text: str | None, least: int) -> set[bytes]:
     """Digests of a document's keys that are long enough."""
-    keys = {k for k in map(_key, (text or "").split("\n")) if len(k) >= least}
-    return {blake2b(k.encode(), digest_size=16).digest() for k in keys}
+    keys = (line.strip(_STRIP) for line in (text or "").split("\n") if len(line) >= least)
+    return {_digest(k) for k in keys if len(k) >= least}
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
@@ -85,7 +84,7 @@ def drop_repeated_lines(
                     gone = set(gone or ())
                     stay = lines
                     if gone:
-                        stay = [x for x in lines if len(k := _key(x)) < least_chars or blake2b(k.encode(), digest_size=16).digest() not in gone]
+                        stay = [x for x in lines if len(k := x.strip(_STRIP)) < least_chars or _digest(k) not in gone]
                     kept.append("\n".join(stay))
                     lines_.append(len(lines))
                     dropped.append(len(lines) - len(stay))
