@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from lodeline.llm.common import mix
 
-BITS = 28  # of an address: 2**28 bits are 32 MB for each filter
+BITS = 26  # of an address: 2**26 bits are 8 MB for each filter
 SEGMENT = 16  # of an address within a segment: 65,536 bits
 FLUSH = 1 << 20
 _BYTES = (1 << SEGMENT) // 8
