@@ -299,7 +299,8 @@ def jaccard_components(
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     sets, sets_path = keep(_sets(docs, size, t), "sets")
-    first = sets.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"))
+    # written, so that joins with it shuffle both sides and Spark can split a set that very many documents have
+    first, _ = keep(sets.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("first")), "first")
     star, star_path = keep(_candidates(sets), "candidates")
     n_of = sets.groupBy("f").agg(F.max("n").alias("n"))
     spread = (
