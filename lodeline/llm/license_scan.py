@@ -180,8 +180,10 @@ def scan_licenses(
     files = own.where("whole is not null").groupBy("dir", "whole").agg(F.max(F.round("whole_cosine", 9)).alias("c"))
     files = files.groupBy("dir").agg(F.min(F.struct((-F.col("c")).alias("c"), "whole")).alias("best"))
     files = files.select(F.col("dir").alias("above"), F.col("best.whole").alias("license"), (-F.col("best.c")).alias("cosine"))
-    up = own.select("dir").distinct().select("dir", F.posexplode(F.concat(F.array("dir"), F.when(F.col("dir") != "", _above(F.col("dir"))).otherwise(F.array()))).alias("steps", "above"))
+    further = F.when(F.col("dir") != "", _above(F.col("dir"))).otherwise(F.array())
+    up = own.select("dir").distinct().select("dir", F.posexplode(F.concat(F.array("dir"), further)).alias("steps", "above"))
     nearest = up.join(files, "above").groupBy("dir").agg(F.min(F.struct("steps", "above", "license", "cosine")).alias("up"))
+    nearest, _ = keep(nearest, "directories")  # written, so that Spark can split a directory that very many documents are in
     out = own.join(nearest, "dir", "left")
     origin = F.when(F.col("own").isNotNull(), "header").when(F.col("whole").isNotNull(), "file").when(F.col("up").isNotNull(), "directory").otherwise("none")
     return out.select(
