@@ -84,6 +84,12 @@ def row_ranges(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[
         i = j
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, where they become Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits; one to one."""
     x = x ^ (x >> np.uint64(30))

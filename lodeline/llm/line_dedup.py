@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import SPACES, keep
+from lodeline.llm.common import SPACES, keep, slices
 from lodeline.llm.seen import holds, twice_seen
 
 _STRIP = "".join(map(chr, SPACES))
@@ -51,12 +51,13 @@ def drop_repeated_lines(
     docs = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return _words([d for t in batch.column(0).to_pylist() for d in _digests(t, least_chars)])
+        texts = (t for part in slices(batch) for t in part.column(0).to_pylist())
+        return _words([d for t in texts for d in _digests(t, least_chars)])
 
     seen = spark.sparkContext.broadcast(twice_seen(docs.select("text"), keys))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, out = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 own = list(_digests(t, least_chars))
@@ -76,8 +77,7 @@ def drop_repeated_lines(
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 kept, lines_, dropped = [], [], []
                 for t, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     lines = (t or "").split("\n")

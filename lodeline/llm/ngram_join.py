@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import discard, keep, mix, row_ranges, text_buffer
+from lodeline.llm.common import discard, keep, mix, row_ranges, slices, text_buffer
 from lodeline.llm.components import components
 from lodeline.llm.seen import holds, twice_seen
 from lodeline.llm.words import Hasher, shingle_set
@@ -243,7 +243,7 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
         key, held = None, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for c, tile, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (c, tile) != key:
                     if held:

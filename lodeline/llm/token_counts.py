@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import row_ranges, text_buffer, worker_store
+from lodeline.llm.common import row_ranges, slices, text_buffer, worker_store
 from lodeline.llm.tokens import Encoder, splits_at_spaces
 
 SAMPLE_ROWS = 20_000
@@ -28,7 +28,7 @@ def frequent_lengths(docs: DataFrame, content: bytes, rows: int = SAMPLE_ROWS, s
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     first, *rest = line.split(" ")

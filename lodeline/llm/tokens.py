@@ -16,7 +16,7 @@ from hashlib import sha256
 
 from lodeline.llm.common import worker_store
 
-CACHE = 3 << 18
+CACHE = 1 << 19
 #: Marks that, alone after a word, are a piece of their own.
 MARKS = ".,;:!?"
 
