@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeline.functions.blocks import KEYS, per_block, spread
 from lodeline.functions.scalars import clip, signed_log, signed_log_inverse
 from lodeline.operators import align, blend, contracts, folds, formation, knn, metrics, refcurve, savgol, wavelet
 from lodeline.operators import anchors as A
@@ -78,7 +79,7 @@ def second_model(oof: DataFrame) -> DataFrame:
 
 def number(well: str = "well_id"):
     """The supplier number inside a series name."""
-    return F.substring(well, 2, 12).cast("bigint")
+    return S.series_number(well)
 
 
 def physics_anchor(df: DataFrame) -> DataFrame:
@@ -215,10 +216,20 @@ def ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Ids with their line number, as a reader of the sample file would deliver them."""
-    return savgol.with_position(contracts.parse_id(df)).select(
-        "id", (number() * 1_000_000 + F.col("pos")).alias("pos")
-    )
+    """Ids with their line number, as a reader of the sample file would deliver them: series after series.
+
+    Lines before a series are counted within 4096 series and over such groups, so no task orders all series.
+    """
+    placed = savgol.with_position(contracts.parse_id(df).select("id", "well_id", "row_idx")).drop("n")
+    sizes = placed.groupBy("well_id").agg(F.count("*").alias("k"), (F.max("row_idx") + 1).alias("n"))
+    sizes = sizes.withColumn("chunk", F.floor(number() / 4096))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = sizes.groupBy("chunk").agg(F.sum("k").alias("k"))  # a row per 4096 series
+    chunks = chunks.select("chunk", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("c0"))
+    inside = Window.partitionBy("chunk").orderBy(number()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("s0", F.coalesce(F.sum("k").over(inside), F.lit(0))).join(chunks, "chunk")
+    starts = per_block(starts.select("well_id", "n", (F.col("c0") + F.col("s0")).alias("before"))).select(*KEYS, "before")
+    return spread(placed).join(starts, KEYS).select("id", (F.col("before") + F.col("pos")).alias("pos"))
 
 
 def _id_violations(spark: SparkSession, sf: str) -> DataFrame:

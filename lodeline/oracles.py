@@ -20,7 +20,7 @@ series AS MATERIALIZED (
            CAST(sum(CAST(round(tx * 100) AS bigint) - 4) OVER w AS double) AS cy
     FROM o WINDOW w AS (PARTITION BY sk ORDER BY ri ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   b AS (
-    SELECT concat('w', lpad(CAST(sk AS string), 6, '0')) AS well_id, CAST(ri AS int) AS row_idx,
+    SELECT concat('w', repeat('0', greatest(0, 6 - length(CAST(sk AS string)))), CAST(sk AS string)) AS well_id, CAST(ri AS int) AS row_idx,
            CASE WHEN sk % 10 = 9 THEN 'test' ELSE 'train' END AS split, sk, n,
            1000.0e0 + cq AS md, sk * 10.0e0 + cx AS x, sk * 5.0e0 + cy AS y, -9000.0e0 - cq / 64 + cx / 8 AS z,
            CASE WHEN ln = 7 AND ri % 3 = 0 THEN NULL ELSE 30.0e0 + floor(ep) % 120 END AS gr,
@@ -38,7 +38,7 @@ series AS MATERIALIZED (
 
 REFERENCE = """
 reference AS MATERIALIZED (
-  SELECT concat('w', lpad(CAST(l_suppkey AS string), 6, '0')) AS well_id, CAST(i AS int) AS tw_idx,
+  SELECT concat('w', repeat('0', greatest(0, 6 - length(CAST(l_suppkey AS string)))), CAST(l_suppkey AS string)) AS well_id, CAST(i AS int) AS tw_idx,
          4900.0e0 + l_suppkey * 4 + i * 4 AS tvt,
          CAST(30.0e0 + floor(p_retailprice * 13 + p_size * 7) % 120 AS double) AS gr, p_type AS geology
   FROM (SELECT l_suppkey, p_retailprice, p_size, p_type,
@@ -799,7 +799,9 @@ def _folds() -> dict[str, str]:
         "series", "SELECT well_id, count(DISTINCT row_idx % 3) AS n_folds FROM series GROUP BY well_id HAVING n_folds > 1"
     )
     sql["group_holdout"] = _with(
-        "series", "SELECT DISTINCT well_id, substr(md5(well_id || ':42'), 1, 8) < '19999999' AS holdout FROM series"
+        "series",
+        """SELECT well_id, row_number() OVER (ORDER BY md5(well_id || ':42'), well_id) <= ceil(count(*) OVER () * 0.1e0) AS holdout
+        FROM (SELECT DISTINCT well_id FROM series)""",
     )
     sql["group_folds"] = _with(
         "series",
@@ -881,7 +883,7 @@ def _tables() -> dict[str, str]:
         UNION ALL SELECT well_id || '_' || n, 'row missing' FROM anchors""",
     )
     ids = f"""ids AS MATERIALIZED (SELECT well_id || '_' || row_idx AS id, well_id, row_idx,
-        {NUM} * 1000000 + row_number() {W} - 1 AS pos FROM series WHERE split = 'test' AND tvt_input IS NULL)"""
+        row_number() OVER (ORDER BY {NUM}, row_idx) - 1 AS pos FROM series WHERE split = 'test' AND tvt_input IS NULL)"""
     sql["predict_join"] = _with(
         "cut",
         f"""WITH {ids} SELECT id, pos, round(last_known + (md - md_cut) / 32, 6) AS model FROM ids JOIN series USING (well_id, row_idx)

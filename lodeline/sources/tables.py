@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeline.session import written_once
@@ -72,7 +72,7 @@ def _derive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sk, ri, cq, cx, cy = (F.col(c) for c in ("sk", "ri", "cq", "cx", "cy"))
     rows = pos.select(
-        F.concat(F.lit("w"), F.lpad(sk.cast("string"), 6, "0")).alias("well_id"),
+        series_name(sk).alias("well_id"),
         ri.cast("int").alias("row_idx"),
         F.when(sk % 10 == 9, "test").otherwise("train").alias("split"),
         (1000.0 + cq).alias("md"),
@@ -96,6 +96,17 @@ def _derive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_name(key: Column) -> Column:
+    """Name of a series: its key with six digits at least. A longer key is never cut."""
+    digits = key.cast("string")
+    return F.concat(F.lit("w"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
+
+
+def series_number(well: str) -> Column:
+    """The key inside a series name."""
+    return F.expr(f"substring({well}, 2)").cast("bigint")
+
+
 def _derive_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = 4096  # part keys per numbering chunk
     pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
@@ -112,7 +123,7 @@ def _derive_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.withColumn("i", F.row_number().over(inside) - 1)
         .join(offsets, ["l_suppkey", "chunk"])
         .select(
-            F.concat(F.lit("w"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("well_id"),
+            series_name(F.col("l_suppkey")).alias("well_id"),
             idx.alias("tw_idx"),
             (4900.0 + F.col("l_suppkey") * 4 + idx * 4).alias("tvt"),
             (30.0 + F.floor(F.col("p_retailprice") * 13 + F.col("p_size") * 7) % 120).cast("double").alias("gr"),
@@ -129,7 +140,7 @@ def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("tvt_input IS NULL").select(
         "well_id",
         "row_idx",
-        (F.substring("well_id", 2, 12).cast("int") % 5).alias("fold"),
+        (series_number("well_id") % 5).cast("int").alias("fold"),
         (F.col("tvt") - F.col("last_known")).alias("y_true"),
         (F.col("z") - F.col("z_cut")).alias("y_pred"),
         ((F.col("md") - F.col("md_cut")) / 32).alias("y_pred_b"),
