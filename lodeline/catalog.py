@@ -52,11 +52,9 @@ def _residual_target(spark: SparkSession, sf: str) -> DataFrame:
 
 def _integrate(spark: SparkSession, sf: str) -> DataFrame:
     df = S.series(spark, sf)
-    slopes = W.target_derivative(df).filter("tvt_input IS NULL")
-    start = A.last_known(df)
-    return rounded(
-        W.integrate_derivative(slopes.join(start, "well_id"), "dtvt_dmd", "last_known"), digits=5
-    )
+    slopes = spread(W.target_derivative(df).filter("tvt_input IS NULL"))
+    started = A.join_anchors(slopes, A.anchors(df).select("well_id", "n", "last_known")).drop("block", "n")
+    return rounded(W.integrate_derivative(started, "dtvt_dmd", "last_known"), digits=5)
 
 
 def _pad_head(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,9 +82,7 @@ def number(well: str = "well_id"):
 
 def physics_anchor(df: DataFrame) -> DataFrame:
     """Series rows with the z-physics estimate as ``anchor``, the centre of the window search."""
-    return df.join(
-        W.build(df, [W.z_physics()]).withColumnRenamed("z_physics", "anchor"), ["well_id", "row_idx"]
-    )
+    return W.build(df, [W.z_physics()], keep=["gr", "tvt_input"]).withColumnRenamed("z_physics", "anchor")
 
 
 def model_rows(df: DataFrame) -> DataFrame:
@@ -151,8 +147,9 @@ def training_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     flags = feature_flags()
     table = features.cached_feature_table(df, flags, f"train:{sf}", keep=["tvt", "tvt_input"])
     columns = features.feature_columns(table, ["tvt", "tvt_input"])
-    per = A.last_known(df).join(folds.group_folds(folds.series_sizes(df), 3), "well_id")
-    rows = table.filter("tvt_input IS NULL AND tvt IS NOT NULL").join(per, "well_id")
+    per = A.anchors(df).select("well_id", "n", "last_known")
+    per = per.join(folds.group_folds(per.select("well_id", "n"), 3).drop("n"), "well_id")
+    rows = A.join_anchors(spread(table.filter("tvt_input IS NULL AND tvt IS NOT NULL")), per)
     return rows.withColumns(
         {"baseline": F.col("last_known"), "target": F.col("tvt") - F.col("last_known")}
     ).select("well_id", "row_idx", "fold", "target", "baseline", *columns), columns

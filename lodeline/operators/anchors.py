@@ -82,8 +82,8 @@ def strict_anchors(df: DataFrame) -> DataFrame:
 def train_rows(df: DataFrame, baseline: Column | None = None) -> DataFrame:
     """Unknown rows with a finite target; a series with any missing baseline is dropped whole."""
     baseline = baseline if baseline is not None else F.col("last_known")
-    rows = with_anchors(df).withColumn("baseline", baseline)
+    rows = join_anchors(spread(df), anchors(df)).withColumn("baseline", baseline)
     unknown = rows.filter(F.col("tvt_input").isNull())
-    incomplete = unknown.filter(F.col("baseline").isNull()).select("well_id").distinct()
+    incomplete = unknown.filter(F.col("baseline").isNull()).groupBy("well_id").agg(F.max("n").alias("n"))
     finite = F.col("tvt").isNotNull() & ~F.isnan("tvt") & (F.abs("tvt") < float("inf"))
-    return unknown.join(incomplete, "well_id", "left_anti").filter(finite).select("well_id", "row_idx", "tvt", "baseline")
+    return unknown.join(per_block(incomplete), KEYS, "left_anti").filter(finite).select("well_id", "row_idx", "tvt", "baseline")
