@@ -226,7 +226,17 @@ def _candidates(sets: DataFrame) -> DataFrame:
     seen = spark.sparkContext.broadcast(twice_seen(has.select("keys"), lambda batch: _flat(batch.column(0))[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
+            # copies of one set have one set of keys, which leaves a task once (or once for each 262,144 other sets)
+            fresh = []
+            for k, f in enumerate(batch.column(0).to_pylist()):
+                if f not in sent:
+                    sent.add(f)
+                    fresh.append(k)
+            if len(sent) > 1 << 18:
+                sent = set()
+            batch = batch.take(pa.array(fresh, pa.int64()))
             keys, count = _flat(batch.column(1))
             at = holds(seen.value, keys)
             f = np.repeat(batch.column(0).to_numpy(), count)
