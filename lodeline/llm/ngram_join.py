@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import discard, keep, mix, row_ranges, slices, text_buffer
@@ -243,8 +243,9 @@ def _candidates(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(f[at])], names=["key", "f"])
 
     shared = has.mapInArrow(run, "key long, f long")
-    least = shared.groupBy("key").agg(F.min("f").alias("c"), F.max("f").alias("z")).where("c < z").select("key", "c")
-    return shared.join(least.hint("merge"), "key").where("f <> c").select("c", "f").distinct()
+    # one shuffle of the keys, as the filters let most of them pass where there are very many
+    least = F.min("f").over(Window.partitionBy("key"))
+    return shared.withColumn("c", least).where("f <> c").select("c", "f").distinct()
 
 
 def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
