@@ -249,30 +249,31 @@ def _candidates(sets: DataFrame) -> DataFrame:
 
 
 def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Searches each group ``(c, tile)`` of ``members(c, tile, f, asks, text)``. Rows ``(c, a, b)``: a link, or with null
-    ``b`` a set that its tile does not connect to the centre."""
+    """Searches each group ``(c, tile, part)`` of ``members(c, tile, part, f, asks, text)``. Rows ``(c, a, b)``: a link, or
+    with null ``b`` a set that its tile does not connect to the centre."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
         key, held = None, []
         for batch in (part for whole in batches for part in slices(whole)):
-            for c, tile, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (c, tile) != key:
+            for c, tile, part, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (c, tile, part) != key:
                     if held:
                         yield key, held
-                    key, held = (c, tile), []
+                    key, held = (c, tile, part), []
                 held.append((f, asks, text))
         if held:
             yield key, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, out = Hasher(lower=True), []
-        for (c, _), rows in groups(batches):
+        for (c, _, _), rows in groups(batches):
             data, offsets = text_buffer(pa.array([r[2] for r in rows], pa.large_string()))
             w = hasher.words(data, offsets)
-            sets, names, asks = [], [], []
+            sets, names, asks, had = [], [], [], set()
             for k, (f, ask, _) in enumerate(rows):
                 u = shingle_set(w.hash[w.first[k] : w.first[k + 1]], size)
-                if _name(u) == f and (f, ask) not in zip(names, asks):  # an id may stand for several texts
+                if _name(u) == f and (f, ask) not in had:  # an id may stand for several texts
+                    had.add((f, ask))
                     sets.append(u)
                     names.append(f)
                     asks.append(ask)
@@ -286,7 +287,8 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
                 out = []
         yield _edges(out)
 
-    columns = members.select("c", "tile", "f", "asks", "text").repartition("c", "tile").sortWithinPartitions("c", "tile")
+    group = ["c", "tile", "part"]
+    columns = members.select(*group, "f", "asks", "text").repartition(*group).sortWithinPartitions(*group)
     return columns.mapInArrow(run, "c long, a long, b long")
 
 
@@ -314,28 +316,29 @@ def jaccard_components(
     first, _ = keep(sets.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("first")), "first")
     star, star_path = keep(_candidates(sets), "candidates")
     n_of = sets.groupBy("f").agg(F.max("n").alias("n"))
-    spread = (
-        star.join(n_of, "f").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-        .select("c", F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    )
+    weighed = lambda some: some.join(n_of, "f").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    pieces = F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int")
+    spread = weighed(star).select("c", pieces.alias("tiles"))
     spread, spread_path = keep(spread, "groups")
     rows = star.join(spread, "c").select("c", F.expr("pmod(xxhash64(f), tiles)").cast("int").alias("tile"), "f")
     rows = rows.union(spread.select("c", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("c").alias("f")))
     names = first.select("f", F.col("first").alias("doc_id"))
-    members = rows.join(names, "f").join(docs, "doc_id").withColumn("asks", F.lit(False))
+    members = rows.join(names, "f").join(docs, "doc_id").withColumns({"part": F.lit(0), "asks": F.lit(False)})
     found, found_path = keep(_links(members, size, t), "found")
 
     links = found.where("b is not null").select("a", "b")
     open_rows = found.where("b is null").select("c", F.col("a").alias("f")).distinct()
-    again = open_rows.join(spread.where("tiles > 1"), "c")
-    paths = [sets_path, star_path, spread_path, found_path]
+    again, again_path = keep(open_rows.join(spread.where("tiles > 1"), "c"), "open")
+    paths = [sets_path, star_path, spread_path, found_path, again_path]
     if again.limit(1).count():  # sets that their tile did not tie to the centre ask the other tiles
-        asking = again.select(
-            "c", F.explode(F.expr("filter(sequence(0, tiles - 1), x -> x <> pmod(xxhash64(f), tiles))")).alias("tile"), "f",
-            F.lit(True).alias("asks"),
+        # as many at a time as a tile has sets; each part meets the whole tile, so memory is bounded however many ask
+        parts = weighed(again).select("c", pieces.alias("parts"))
+        asking = again.join(parts, "c").select(
+            "c", F.explode(F.expr("filter(sequence(0, tiles - 1), x -> x <> pmod(xxhash64(f), tiles))")).alias("tile"),
+            F.expr("pmod(xxhash64(f, 1), parts)").cast("int").alias("part"), "f", F.lit(True).alias("asks"),
         )
-        both = rows.join(again.select("c").distinct(), "c", "left_semi").withColumn("asks", F.lit(False)).union(asking)
-        members = both.join(names, "f").join(docs, "doc_id")
+        asked = rows.join(parts, "c").select("c", "tile", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "f", F.lit(False).alias("asks"))
+        members = asked.union(asking).join(names, "f").join(docs, "doc_id")
         more, more_path = keep(_links(members, size, t), "found")
         links = links.union(more.where("b is not null").select("a", "b"))
         paths.append(more_path)
