@@ -8,10 +8,9 @@ pairs that survive at the leaves are checked on the sets themselves.
 One tree over a whole corpus would not prune: counts of unrelated texts of one size lie close together in every single
 coordinate. So the upper part of the index is a set of *cells*. The shingles of a size class are hashed into more parts
 than two linked sets can have differing shingles, so that linked sets agree on all shingles of at least one part, and
-agreeing on a part is an equality. Parts that only one set has are found by two Bloom filters before any shuffle. The
-least set of a cell is its centre; the sets that share cells with one centre form a group, every linked pair is in some
-group, and each group gets a tree. Large groups are cut into tiles; what a tile could not tie to the centre visits
-the other tiles.
+agreeing on a part is an equality, found by one shuffle of the keys, whose number grows with the texts. The least set
+of a cell is its centre; the sets that share cells with one centre form a group, every linked pair is in some group, and
+each group gets a tree. Large groups are cut into tiles; what a tile could not tie to the centre visits the other tiles.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 
 from lodeline.llm.common import discard, keep, mix, row_ranges, slices, text_buffer
 from lodeline.llm.components import components
-from lodeline.llm.seen import holds, twice_seen
 from lodeline.llm.words import Hasher, shingle_set
 
 DIMENSIONS = 64
@@ -221,13 +219,10 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """``(c, f)``: a set and the least set with which it shares a cell."""
-    spark = sets.sparkSession
-    has = sets.where(F.size("keys") > 0).select("f", "keys")
-    seen = spark.sparkContext.broadcast(twice_seen(has.select("keys"), lambda batch: _flat(batch.column(0))[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
             # copies of one set have one set of keys, which leaves a task once (or once for each 262,144 other sets)
             fresh = []
             for k, f in enumerate(batch.column(0).to_pylist()):
@@ -238,12 +233,10 @@ def _candidates(sets: DataFrame) -> DataFrame:
                 sent = set()
             batch = batch.take(pa.array(fresh, pa.int64()))
             keys, count = _flat(batch.column(1))
-            at = holds(seen.value, keys)
             f = np.repeat(batch.column(0).to_numpy(), count)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(f[at])], names=["key", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f)], names=["key", "f"])
 
-    shared = has.mapInArrow(run, "key long, f long")
-    # one shuffle of the keys, as the filters let most of them pass where there are very many
+    shared = sets.where(F.size("keys") > 0).select("f", "keys").mapInArrow(run, "key long, f long")
     least = F.min("f").over(Window.partitionBy("key"))
     return shared.withColumn("c", least).where("f <> c").select("c", "f").distinct()
 
