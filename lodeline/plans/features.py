@@ -83,7 +83,11 @@ def feature_columns(table: DataFrame, keep: list[str] = ()) -> list[str]:
 
 
 def cached_feature_table(df: DataFrame, flags: Flags, source: str, reference: DataFrame | None = None, **kw) -> DataFrame:
-    """The table written to the shared folder under a digest of its settings, and read from there afterwards."""
+    """The table written to the shared folder under a digest of its settings and inputs, and read from there afterwards.
+
+    Inputs are told apart by ``source``, their columns and the files they are read from.
+    """
     settings = sorted((asdict(flags) | {k: str(v) for k, v in kw.items()}).items())
-    digest = hashlib.sha256(repr((source, settings)).encode()).hexdigest()
+    inputs = [(t.schema.json(), sorted(t.inputFiles())) for t in (df, reference) if t is not None]
+    digest = hashlib.sha256(repr((source, settings, inputs)).encode()).hexdigest()
     return written_once(df.sparkSession, f"features:{digest}", lambda: feature_table(df, flags, reference, **kw))

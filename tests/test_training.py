@@ -93,6 +93,8 @@ def test_feature_cache(spark, table):
     a = features.cached_feature_table(df, FLAGS, "here")
     assert a.inputFiles() == features.cached_feature_table(df, FLAGS, "here").inputFiles()
     assert a.inputFiles() != features.cached_feature_table(df, features.Flags(), "here").inputFiles()
+    wider = df.withColumn("more", df.gr)
+    assert a.inputFiles() != features.cached_feature_table(wider, FLAGS, "here").inputFiles()
 
 
 def test_all_families_at_once(spark):
