@@ -5,13 +5,17 @@ of step and word says whether to move on. Sequences a few edits apart fall into
 Hamming distance. Hamming distance is searched by sampling a few places of the walk as a key, again and again. Items
 are indexed from each of their words, documents are read at windows of a fixed stride, so some windows of an item's copy
 begin at the same word as an indexed one whatever lies before it. Windows follow the items: each class of lengths,
-from the shortest item to twice its length and so on, has windows of half its least length and a stride of a quarter. Pairs that share a key are
-checked exactly by edit distance.
+from the shortest item to twice its length and so on, has windows of half its least length and a stride of a quarter.
+
+Walks alone lose copies with many words changed, above all of long items. So each item is also cut into one piece more
+than words of it may change: whatever the changes, one piece stays as it was, and documents are searched for the pieces at
+every word. Pairs that share a key or a piece are checked exactly by edit distance, so no pair within the limit is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import batched
 
 import numpy as np
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import mix, random_words, row_ranges, share, shared, text_buffer
-from lodeline.llm.words import MARKS, Hasher
+from lodeline.llm.words import MARKS, Hasher, windows
 
 SIMILAR = 0.8
 LEAST_WORDS = 5
@@ -28,7 +32,9 @@ WALKS = 4
 TABLES = 3  # of each walk
 PLACES = 4  # of each table
 BLOCK = 20_000  # items that one pass over the documents looks for
+LONGEST_RUN = 8  # words of a piece that are compared; more would only make rare ones rarer
 _FILTER = 22
+_PART = 1 << 18  # candidates at a time
 
 
 class Walk:
@@ -60,10 +66,38 @@ class Walk:
                 yield mix(k)
 
 
+class Table:
+    """Places in items, by key."""
+
+    def __init__(self, keys: list[np.ndarray], which: list[np.ndarray], shift: list[np.ndarray]):
+        keys, which, shift = map(np.concatenate, (keys, which, shift))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.which, self.shift = keys[order], which[order], shift[order]
+        self.seen = np.zeros(1 << _FILTER, bool)
+        self.seen[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the keys are here, and between which places of the table."""
+        hit = np.flatnonzero(self.seen[(found >> np.uint64(64 - _FILTER)).astype(np.int64)])
+        a, b = np.searchsorted(self.keys, found[hit], "left"), np.searchsorted(self.keys, found[hit], "right")
+        return hit[b > a], a[b > a], b[b > a]
+
+    def pairs(self, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows ``(item, word where its copy would begin, word where it was seen)``, a bounded number at a time."""
+        i, ends = 0, np.cumsum(b - a)
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - (b[i] - a[i]) + _PART, "right")))
+            n = b[i:j] - a[i:j]
+            at = np.repeat(a[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            seen = np.repeat(starts[i:j], n)
+            yield np.stack([self.which[at], seen - self.shift[at], seen], 1)
+            i = j
+
+
 class Index:
-    """Windows of the items of all length classes, by key."""
+    """Windows of the items of all length classes by key, and the pieces of the items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], similar: float = SIMILAR):
         hasher = Hasher(lower=True, separators=MARKS)
         data, offsets = text_buffer(pa.array([t or "" for _, t in items], pa.large_string()))
         w = hasher.words(data, offsets)
@@ -77,7 +111,9 @@ class Index:
             self.classes.append(self._class(Walk(low), np.flatnonzero((sizes >= low) & (sizes < 2 * low))))
             left = left[left >= 2 * low]
 
-    def _class(self, walk: Walk, own: np.ndarray) -> tuple:
+        self.runs = self._runs(similar)
+
+    def _class(self, walk: Walk, own: np.ndarray) -> tuple[Walk, Table]:
         keys, which, shift = [], [], []
         for k in own:
             starts = np.arange(len(self.items[k]) - walk.window + 1)
@@ -85,25 +121,34 @@ class Index:
                 keys.append(found)
                 which.append(np.full(len(starts), k))
                 shift.append(starts)
-        keys, which, shift = map(np.concatenate, (keys, which, shift))
-        order = np.argsort(keys, kind="stable")
-        seen = np.zeros(1 << _FILTER, bool)
-        seen[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
-        return walk, keys[order], which[order], shift[order], seen
-
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows ``(item, word where its copy would begin)``, as far as windows of the rows between ``first`` show."""
-        out = []
-        for walk, keys, which, shift, seen in self.classes:
+        return walk, Table(keys, which, shift)
+
+    def _runs(self, similar: float) -> list[tuple[int, Table]]:
+        """The first words of the pieces of each item, by how many words these are."""
+        of: dict[int, tuple[list, list, list]] = {}
+        for k, words in enumerate(self.items):
+            if len(words) < LEAST_WORDS:
+                continue
+            pieces = allowed(len(words), similar) + 1
+            size = min(LONGEST_RUN, len(words) // pieces)
+            starts = np.arange(pieces) * len(words) // pieces
+            for column, x in zip(of.setdefault(size, ([], [], [])), (windows(words, size)[starts], np.full(pieces, k), starts)):
+                column.append(x)
+        return [(size, Table(*columns)) for size, columns in sorted(of.items())]
+
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows ``(item, word where its copy would begin, word where it was seen)`` in the rows between ``first``."""
+        for walk, table in self.classes:
             n = np.maximum(0, (np.diff(first) - walk.window) // walk.stride + 1)
             ahead = np.concatenate([[0], np.cumsum(n)])
             starts = (np.arange(ahead[-1]) - np.repeat(ahead[:-1], n)) * walk.stride + np.repeat(first[:-1], n)
             for found in walk.keys(h, starts):
-                hit = np.flatnonzero(seen[(found >> np.uint64(64 - _FILTER)).astype(np.int64)])
-                a, b = np.searchsorted(keys, found[hit], "left"), np.searchsorted(keys, found[hit], "right")
-                at = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                out.append(np.stack([which[at], np.repeat(starts[hit], b - a) - shift[at], np.repeat(starts[hit], b - a)], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+                hit, a, b = table.find(found)
+                yield from table.pairs(starts[hit], a, b)
+        for size, table in self.runs:
+            hit, a, b = table.find(windows(h, size))
+            inside = hit + size <= first[np.searchsorted(first, hit, "right")]
+            yield from table.pairs(hit[inside], a[inside], b[inside])
 
 
 def allowed(n: int, similar: float = SIMILAR) -> int:
@@ -148,28 +193,34 @@ def find_items(
     kind = "doc_id long, item_id long, edits long, item_words long"
     found = spark.createDataFrame([], kind)
     for some in batched(rows.toLocalIterator(), block):
-        index = share(spark, Index([tuple(r) for r in some]))
+        index = share(spark, Index([tuple(r) for r in some], similar))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hasher, index = Hasher(lower=True, separators=MARKS), shared(index)
+            own = lru_cache(1 << 12)(lambda item: frozenset(index.items[item].tolist()))
             for batch in batches:
                 data, offsets = text_buffer(batch.column(1))
                 for i, j in row_ranges(offsets):
                     w = hasher.words(data, offsets[i : j + 1])
                     best: dict[tuple[int, int], int] = {}
-                    done = set()
-                    for item, begin, seen in index.candidates(w.hash, w.first).tolist():
-                        row = int(np.searchsorted(w.first, seen, "right")) - 1
-                        if best.get((row, item)) == 0 or (item, begin) in done:
-                            continue
-                        done.add((item, begin))
-                        words = index.items[item]
-                        k = allowed(len(words), similar)
-                        # an exact copy begins right there; another at most as many words off as it has edits
-                        a, b = max(int(w.first[row]), begin - k), min(int(w.first[row + 1]), begin + len(words) + k)
-                        edits = least_edits(words, w.hash[a:b])
-                        if edits <= k:
-                            best[row, item] = min(edits, best.get((row, item), edits))
+                    done: set[tuple[int, int, int]] = set()
+                    for part in index.candidates(w.hash, w.first):
+                        if len(done) > _PART:
+                            done = set()
+                        rows = np.searchsorted(w.first, part[:, 2], "right") - 1
+                        for row, item, begin in zip(rows.tolist(), part[:, 0].tolist(), part[:, 1].tolist()):
+                            if (row, item, begin) in done or best.get((row, item)) == 0:
+                                continue
+                            done.add((row, item, begin))
+                            words = index.items[item]
+                            k = allowed(len(words), similar)
+                            # an exact copy begins right there; another at most as many words off as it has edits
+                            a, b = max(int(w.first[row]), begin - k), min(int(w.first[row + 1]), begin + len(words) + k)
+                            if len(own(item).difference(w.hash[a:b].tolist())) > k:
+                                continue  # each word that is not there is an edit
+                            edits = least_edits(words, w.hash[a:b])
+                            if edits <= k:
+                                best[row, item] = min(edits, best.get((row, item), edits))
                     ids = batch.column(0).slice(i, j - i).to_pylist()
                     out = [(ids[row], index.ids[item], n, len(index.items[item])) for (row, item), n in best.items()]
                     columns = list(zip(*out)) or [()] * 4

@@ -274,6 +274,22 @@ def test_decontamination_against_every_stretch(spark, empty):
     assert find_items(empty, bench).collect() == [] and find_items(df, bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_all_that_the_limit_allows(spark):
+    rng = np.random.default_rng(15)
+    vocab = [f"word{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(vocab, n))) for k, n in enumerate([5, 9, 10, 15, 24, 38, 59, 100, 101, 200, 400, 700] * 3)]
+    docs = []
+    for k, t in items:
+        copy = t.split()
+        spread = list(copy)  # every fifth word is another one, so that no long run stays
+        spread[4::5] = [f"new{k}" for k in range(len(copy) // 5)]
+        for m, words in enumerate([spread, *(changed(copy, len(copy) // 5, rng) for _ in range(4))]):
+            docs.append((10 * k + m, " ".join([*rng.choice(vocab, rng.integers(0, 90)), *words, *rng.choice(vocab, rng.integers(0, 90))])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_items(df, bench, block=20).collect()}
+    assert {(i, i // 10) for i, _ in docs} <= got
+
+
 def test_edits_by_bits():
     rng = np.random.default_rng(6)
     for _ in range(200):
