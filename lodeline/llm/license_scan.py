@@ -3,13 +3,16 @@
 Lines and whole texts are compared with licence templates by the cosine of sparse TF-IDF vectors. Words are hashed;
 document frequencies are counted over the whole corpus in a table of fixed size, so rare words of the corpus weigh as
 much as rare words of a template. Only units whose template words could reach the threshold by themselves get a full
-vector. A document whose whole text is close to a template is a licence file and stands for its directory; documents
-without a licence of their own take that of the nearest directory above them, found by joining paths.
+vector. Notices are also compared with each run of words as long as they are, so one that is wrapped or shares its line counts.
+A document whose whole text is close to a notice or to the full text of a licence (``licenses/``) is a licence file and
+stands for its directory; documents without a licence of their own take that of the nearest directory above them, found
+by joining paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +46,41 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
 }
 
+_LATER = "either version {} of the License, or (at your option) any later version."
+_GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
+    "Free Software Foundation, " + _LATER
+)
+
+#: The notices that stand at the head of files. The short templates above are parts of some, so one of these goes before them.
+NOTICES = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ],
+    "GPL-2.0": [_GNU.format("program", "General Public License", "2"), _GNU.replace(_LATER, "version 2 of the License.").format("program", "General Public License")],
+    "GPL-3.0": [_GNU.format("program", "General Public License", "3"), _GNU.replace(_LATER, "version 3 of the License.").format("program", "General Public License")],
+    "LGPL-2.1": [_GNU.format("library", "Lesser General Public License", "2.1")],
+    "LGPL-3.0": [_GNU.format("program", "Lesser General Public License", "3"), _GNU.format("library", "Lesser General Public License", "3")],
+    "AGPL-3.0": [_GNU.format("program", "Affero General Public License", "3")],
+}
+
 LINE = 0.8
 FILE = 0.5
+FULL = 0.9  # of full texts; running prose of any kind shares its common words with them
 FREQUENCY_BITS = 16
 
 
+def full_texts() -> dict[str, list[str]]:
+    """The full texts of licences."""
+    found = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    # no copy of it is here; its words are nearly those of the GPL, but for the name
+    found["AGPL-3.0"] = [found["GPL-3.0"][0].replace("GNU General", "GNU Affero General").replace("GNU GENERAL", "GNU AFFERO GENERAL")]
+    return found
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
@@ -91,6 +124,41 @@ class Templates:
         norm = np.sqrt((self.vectors**2).sum(0))
         self.vectors /= np.where(norm, norm, 1)
         self.reach = self.vectors**2
+        self.lengths = np.diff(w.first)
+
+    def _vector(self, h: np.ndarray) -> np.ndarray:
+        """The cosine of one unit of words with each template."""
+        own, tf = np.unique(h, return_counts=True)
+        v = tf * self.idf[_bucket(own)]
+        place = np.searchsorted(self.words, own)
+        place[place == len(self.words)] = 0
+        same = self.words[place] == own
+        return (v[same] @ self.vectors[place[same]]) / np.sqrt((v**2).sum())
+
+    def runs(self, h: np.ndarray, first: np.ndarray, least: float) -> Iterator[tuple[int, str, float]]:
+        """``(word, licence, cosine)`` of runs that begin at a word, are as long as a template and reach ``least`` with it; none
+        crosses from one row, ``first[i]:first[i + 1]``, into the next."""
+        if not len(h) or not len(self.words):
+            return
+        weight = self.idf[_bucket(h)]
+        at = np.searchsorted(self.words, h)
+        at[at == len(self.words)] = 0
+        known = np.flatnonzero(self.words[at] == h)
+        power = np.concatenate([[0], np.cumsum(weight**2)])
+        for t, n in enumerate(self.lengths.tolist()):
+            if not 0 < n <= len(h):
+                continue
+            part = np.zeros(len(h) + 1)
+            part[known + 1] = weight[known] * self.vectors[at[known], t]
+            part = np.cumsum(part)
+            # repeated words make a vector longer than this, so the cosine can only be too high
+            bound = (part[n:] - part[:-n]) >= (least - 1e-6) * np.sqrt(power[n:] - power[:-n])
+            starts = np.flatnonzero(bound)
+            starts = starts[starts + n <= first[np.searchsorted(first, starts, "right")]]
+            for k in starts.tolist():
+                cosine = float(self._vector(h[k : k + n])[t])
+                if cosine >= least:
+                    yield k, self.names[t], cosine
 
     def match(self, h: np.ndarray, first: np.ndarray, least: float) -> list[tuple[int, str, float]]:
         """``(unit, licence, cosine)`` of units ``first[i]:first[i + 1]`` that reach ``least``; the nearest template each, the
@@ -106,24 +174,19 @@ class Templates:
         bound = np.add.reduceat(self.reach[at[known]], heads).max(1)
         out = []
         for u in unit[heads][bound >= least**2 - 1e-9].tolist():
-            own, tf = np.unique(h[first[u] : first[u + 1]], return_counts=True)
-            v = tf * self.idf[_bucket(own)]
-            place = np.searchsorted(self.words, own)
-            place[place == len(self.words)] = 0
-            same = self.words[place] == own
-            cosine = (v[same] @ self.vectors[place[same]]) / np.sqrt((v**2).sum())
+            cosine = self._vector(h[first[u] : first[u + 1]])
             best = int(np.argmax(np.round(cosine, 12)))
             if cosine[best] >= least:
                 out.append((u, self.names[best], float(cosine[best])))
         return out
 
 
-def _own_licences(rows: DataFrame, templates: Templates, line: float, file: float) -> DataFrame:
-    """``(doc_id, path, own, own_cosine, own_line, whole, whole_cosine)`` for each row."""
+def _own_licences(rows: DataFrame, templates: tuple[Templates, Templates, Templates], line: float, file: float, full: float) -> DataFrame:
+    """``(doc_id, path, own, own_cosine, own_line, whole, whole_cosine)`` for each row; a full text has no line of its own."""
     sent = share(rows.sparkSession, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Hasher(lower=True, separators=MARKS), shared(sent)
+        hasher, (known, notices, licences) = Hasher(lower=True, separators=MARKS), shared(sent)
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for i, j in row_ranges(offsets):
@@ -133,13 +196,20 @@ def _own_licences(rows: DataFrame, templates: Templates, line: float, file: floa
                 starts = np.unique(np.concatenate([at[:-1], feeds + 1]))
                 starts = starts[starts < at[-1]]
                 lines = np.append(np.searchsorted(w.start, starts), len(w.hash))
+                found = [(u, name, cosine, 1) for u, name, cosine in known.match(w.hash, lines, line)]
+                for some, rank in ((notices, 0), (known, 1)):
+                    for k, name, cosine in some.runs(w.hash, w.first, line):
+                        found.append((int(np.searchsorted(starts, w.start[k], "right")) - 1, name, cosine, rank))
                 header: dict[int, tuple] = {}
-                for u, name, cosine in known.match(w.hash, lines, line):
+                # long notices before short ones, then the nearest, then the first line
+                for u, name, cosine, _ in sorted(found, key=lambda x: (x[3], -round(x[2], 12), x[0])):
                     row = int(np.searchsorted(at, starts[u], "right")) - 1
-                    if cosine > header.get(row, (None, 0.0))[1] + 1e-12:  # of equally near lines, the first
-                        number = u - int(np.searchsorted(starts, at[row]))
-                        header[row] = (name, cosine, number)
+                    header.setdefault(row, (name, cosine, u - int(np.searchsorted(starts, at[row]))))
                 whole = {u: (name, c) for u, name, c in known.match(w.hash, w.first, file)}
+                whole |= {u: (name, c) for u, name, c in notices.match(w.hash, w.first, full)}
+                for u, name, c in licences.match(w.hash, w.first, full):
+                    whole[u] = (name, c)
+                    header.pop(u, None)  # what it quotes says nothing that it does not say itself
                 none = (None, None, None)
                 mine, its = [header.get(k, none) for k in range(j - i)], [whole.get(k, none) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
@@ -161,21 +231,25 @@ def _above(path):
 
 def scan_licenses(
     docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None,
-    line: float = LINE, file: float = FILE,
+    line: float = LINE, file: float = FILE, notices: dict[str, list[str]] | None = None, licences: dict[str, list[str]] | None = None,
+    full: float = FULL,
 ) -> DataFrame:
     """``(doc_id, path, license, origin, similarity, line, directory)`` for every row of ``docs``.
 
-    ``origin`` is ``header`` for a line of the document within cosine ``line`` of a template, ``file`` for a whole text within
-    ``file`` of one, ``directory`` for a licence taken from the nearest directory above the document in which a licence
-    file lies (the document's own directory first), else ``none``. ``line`` counts from 0; ``similarity`` is the cosine of what
-    was found. The best of several lines counts, then the first; of several files of one directory the nearest to
+    ``origin`` is ``header`` for a line of the document within cosine ``line`` of a template, or a run of words within it of a
+    template or notice of that length; ``file`` for a whole text within ``file`` of a template, or within ``full`` of one of
+    the ``licences``, which goes before any header; ``directory`` for a licence taken from the nearest directory above the document in which a licence
+    file lies (the document's own directory first), else ``none``; a whole text within ``full`` of a notice is a licence file
+    as well. ``line`` counts from 0 and is where a run begins; ``similarity`` is the cosine of what
+    was found. Long notices go before short templates; the best of several lines counts, then the first; of several files of one directory the nearest to
     its template, then the licence first by name. ``path`` names the column of paths, with ``/`` between their parts; a
     null path is at the root. Null and empty texts have no licence of their own. Repeated rows each give a row, an
     empty table none.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
-    vectors = Templates(TEMPLATES if templates is None else templates, *document_frequency(rows))
-    own, _ = keep(_own_licences(rows, vectors, line, file), "licences")
+    df, n = document_frequency(rows)
+    texts = (TEMPLATES if templates is None else templates, NOTICES if notices is None else notices, full_texts() if licences is None else licences)
+    own, _ = keep(_own_licences(rows, tuple(Templates(x, df, n) for x in texts), line, file, full), "licences")
     own = own.withColumn("dir", F.element_at(_above(F.col("path")), 1))
     files = own.where("whole is not null").groupBy("dir", "whole").agg(F.max(F.round("whole_cosine", 9)).alias("c"))
     files = files.groupBy("dir").agg(F.min(F.struct((-F.col("c")).alias("c"), "whole")).alias("best"))

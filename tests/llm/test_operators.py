@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeline.llm import ngram_join, seen, tokens
+from lodeline.llm import license_scan, ngram_join, seen, tokens
 from lodeline.llm.catalog import URL_RULES, tokenizer
 from lodeline.llm.common import row_ranges, text_buffer
 from lodeline.llm.components import components
@@ -438,6 +440,35 @@ def test_licenses(spark, empty):
     assert scan_licenses(empty, "lang").collect() == []
 
 
+def test_full_licences_and_wrapped_notices(spark):
+    at = Path(license_scan.__file__).parent / "licenses"
+    full = {p.stem: p.read_text() for p in at.glob("*.txt")}
+    plain = " ".join(f"w{k}" for k in range(300))
+    apache = "\n".join(f"# {x}" for x in textwrap.wrap("Copyright 2020 the authors. " + license_scan.NOTICES["Apache-2.0"][0], 60))
+    gnu = "\n".join(f" * {x}" for x in textwrap.wrap(license_scan.NOTICES["GPL-2.0"][0].replace("software:", "software;"), 40))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(full.items())):
+        again = textwrap.fill(f"Copyright (c) 2021 Some Body\n\n{text}".replace("<year>", "1999"), 50)
+        rows += [(3 * k, f"{name}/LICENSE", again), (3 * k + 1, f"{name}/src/x", plain)]
+        want |= {3 * k: (name, "file", None, None), 3 * k + 1: (name, "directory", None, name)}
+    rows += [
+        (900, "a/x", f"{apache}\n{plain}"), (901, "b/x", f"{plain}\n{gnu}\n{plain}"), (902, "c/NOTICE", apache), (903, "c/d/x", plain),
+        (904, "e/x", f"{plain}\nCopyright 2020 the authors. Licensed under the Apache License, Version 2.0. See the file for more of it."),
+        (905, "f/x", f"{plain}\nall of it is licensed under\nthe MIT License, more or less\n{plain}"), (906, "g/x", plain),
+    ]
+    want |= {
+        900: ("Apache-2.0", "header", 0, None), 901: ("GPL-2.0", "header", 1, None), 902: ("Apache-2.0", "header", 0, None),
+        903: ("Apache-2.0", "directory", None, "c"), 904: ("Apache-2.0", "header", 1, None), 905: ("MIT", "header", 1, None),
+        906: (None, "none", None, None),
+    }
+    prose = " ".join(re.sub(r"(?i)licen[cs]es?|copyright|software", "matter", full["GPL-3.0"]).split()[::3])  # common words alone
+    rows.append((907, "h/x", prose))
+    want[907] = (None, "none", None, None)
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.line, r.directory) for r in scan_licenses(df, "path").collect()}
+    assert got == want
+
+
 def test_isotonic():
     x, y = isotonic(np.arange(6.0), np.array([0, 3, 1, 2, 9, 8]), np.array([10.0] * 6))
     assert (np.diff(y) > 0).all() and x[0] == 0 and y[0] == 0 and y[1] == pytest.approx(0.2) and y[-1] == pytest.approx(0.85)
