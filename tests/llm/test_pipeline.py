@@ -67,3 +67,24 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    plain = lambda seed: " ".join(f"w{seed}x{k}" for k in range(60))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    near = plain(1) + " more"
+    rows = [
+        (1, plain(1)), (2, near), (2, plain(2)), (3, plain(3)), (3, plain(3) + " more"), (None, plain(4)), (None, plain(4)), (None, plain(5)),
+        (4, plain(5) + " more"), (None, plain(6)), (None, plain(6) + " more"), (5, ""), (6, ""), (7, None), (None, None), (8, plain(8)), (8, plain(8)),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert max(got.values()) == 1
+    sure = {(1, plain(1)), (2, plain(2)), (None, plain(4)), (4, plain(5) + " more"), (5, ""), (6, ""), (7, None), (None, None), (8, plain(8))}
+    either = [{(3, plain(3)), (3, plain(3) + " more")}, {(None, plain(6)), (None, plain(6) + " more")}]
+    assert set(got) - set().union(*either) == sure and all(len(set(got) & two) == 1 for two in either)
+
+    rows = [(1, f"{plain(1)} {item}"), (1, plain(1)), (None, f"{plain(2)} {item} {plain(3)}"), (None, plain(2)), (None, None), (2, ""), (2, plain(2)), (2, plain(2))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], df.schema)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, df, SF).collect())
+    assert got == Counter((i, t) for i, t in rows if item not in (t or ""))
