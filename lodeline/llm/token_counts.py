@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import row_ranges, slices, text_buffer, worker_store
-from lodeline.llm.tokens import Encoder, splits_at_spaces
+from lodeline.llm.tokens import PIECE, Encoder, splits_at_spaces
 
 SAMPLE_ROWS = 20_000
 TABLE = 1 << 16
 LEADING = 1 << 13  # of each sampled task
 
 
-def frequent_lengths(docs: DataFrame, content: bytes, rows: int = SAMPLE_ROWS, size: int = TABLE) -> tuple[dict, dict]:
-    """Lengths in tokens of the pre-tokens that lead in about ``rows`` rows, with a space before them and at a line's begin."""
+def frequent_lengths(docs: DataFrame, content: bytes, rows: int = SAMPLE_ROWS, size: int = TABLE) -> dict:
+    """Lengths in tokens of the pre-tokens that lead in about ``rows`` rows, as chunks of :class:`Encoder`."""
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -50,20 +50,17 @@ def frequent_lengths(docs: DataFrame, content: bytes, rows: int = SAMPLE_ROWS, s
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     found = sample.mapInArrow(leading, "begin int, chunk string, n long").groupBy("begin", "chunk").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "begin", "chunk").limit(size).collect()
-    encoder = Encoder(content, "drawing", len, sum)
-    out = {}, {}
-    for lead, begin in ((" ", 0), ("", 1)):
-        names = [r.chunk for r in top if r.begin == begin]
-        out[begin].update(zip(names, map(len, encoder.ids([lead + c for c in names]))))
-    return out
+    encoder = Encoder(content, None)
+    lengths = map(len, encoder.ids([r.chunk if r.begin else " " + r.chunk for r in top]))
+    return {"\n" * r.begin + r.chunk: n + r.begin * encoder.feed for r, n in zip(top, lengths)}
 
 
 def _pack(lengths: dict) -> tuple[str, bytes]:
-    return "\n".join(lengths), np.array(list(lengths.values()), np.uint16).tobytes()
+    return " ".join(lengths), np.array(list(lengths.values()), np.uint16).tobytes()
 
 
 def _unpack(packed: tuple[str, bytes]) -> dict:
-    return dict(zip(packed[0].split("\n"), np.frombuffer(packed[1], np.uint16).tolist())) if packed[1] else {}
+    return dict(zip(packed[0].split(" "), np.frombuffer(packed[1], np.uint16).tolist())) if packed[1] else {}
 
 
 def count_tokens(
@@ -82,8 +79,8 @@ def count_tokens(
         content = f.read()
     file = spark.sparkContext.broadcast(content)
     pieces = path.endswith(".model")
-    table = frequent_lengths(docs, content, sample_rows) if not pieces and splits_at_spaces(content) else ({}, {})
-    first = spark.sparkContext.broadcast(tuple(map(_pack, table)))
+    table = frequent_lengths(docs, content, sample_rows) if not pieces and splits_at_spaces(content) else {}
+    first = spark.sparkContext.broadcast(_pack(table))
 
     def counter():
         if pieces:
@@ -93,15 +90,15 @@ def count_tokens(
             if ("pieces", file.value) not in store:
                 store["pieces", file.value] = sentencepiece.SentencePieceProcessor(model_proto=file.value)
             model = store["pieces", file.value]
-            return lambda texts: [len(model.encode(t)) for t in texts]
-        return Encoder(file.value, "lengths", len, sum, tuple(map(_unpack, first.value)))
+            return lambda column: [len(model.encode(t or "")) for t in column.to_pylist()]
+        return Encoder(file.value, None, _unpack(first.value)).count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for batch in batches:
             _, offsets = text_buffer(batch.column(2))
-            for i, j in row_ranges(offsets):
-                n = count([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()])
+            for i, j in row_ranges(offsets, PIECE):
+                n = count(batch.column(2).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64())],
                     names=["doc_id", "n_bytes", "n_tokens"],

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import folder, keep, row_ranges, text_buffer
-from lodeline.llm.tokens import Encoder, as_bytes, load
+from lodeline.llm.tokens import PIECE, Encoder, load
 
 NO_ID = -(1 << 63)
 
@@ -73,7 +73,6 @@ def write_tokens(docs: DataFrame, content: bytes, end_id: int, to: str | None =
     tokenizer, _ = load(content)
     width = 2 if max(tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
     file = spark.sparkContext.broadcast(content)
-    end = np.array([end_id], f"<u{width}").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, sizes = TaskContext.get().partitionId(), [], []
@@ -83,21 +82,22 @@ def write_tokens(docs: DataFrame, content: bytes, end_id: int, to: str | None =
                 continue
             if out is None:
                 out = _File(to, f"part-{part:06d}.bin")
-                encoder = Encoder(file.value, f"u{width}", as_bytes(width), b"".join)
+                encoder = Encoder(file.value, width)
             ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
             _, offsets = text_buffer(batch.column(1))
-            for i, j in row_ranges(offsets):
-                for found in encoder([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]):
-                    out.write(found + end)
-                    sizes.append(len(found) // width + 1)
+            for i, j in row_ranges(offsets, PIECE):
+                found, bounds = encoder.encode(batch.column(1).slice(i, j - i))
+                out.write(np.insert(found, bounds[1:], end_id).tobytes())
+                sizes.append(np.diff(bounds) + 1)
         if out is None:
             return
         out.close()
-        for name, values in (("ids", np.concatenate(ids).astype("<i8")), ("sizes", np.array(sizes, "<u8"))):
+        sizes = np.concatenate(sizes).astype("<u8")
+        for name, values in (("ids", np.concatenate(ids).astype("<i8")), ("sizes", sizes)):
             side = _File(to, f"part-{part:06d}.{name}")
             side.write(values.tobytes())
             side.close()
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(sizes)], "tokens": [sum(sizes)]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(sizes)], "tokens": [int(sizes.sum())]})
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")

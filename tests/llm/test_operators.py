@@ -199,7 +199,7 @@ def test_tokens_round_trip(spark, docs, rows, empty):
 
 @pytest.mark.parametrize("cache", [1 << 19, 50])
 def test_token_counts(spark, docs, rows, empty, cache, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", cache)
+    monkeypatch.setattr(tokens, "WORDS", cache)
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     n = lambda t: len(plain.encode(t or "", add_special_tokens=False).ids)
     path = public_tokenizers.path("byte_bpe_50k.json")
