@@ -9,19 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import table
+from lodeline.llm.conversation_trie import conversation_trie
 from lodeline.llm.decontamination import find_items
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.line_dedup import drop_repeated_lines
 from lodeline.llm.mixing import plan_mix
 from lodeline.llm.ngram_join import jaccard_components
+from lodeline.llm.packing import pack
 from lodeline.llm.quality_classifier import score_quality
 from lodeline.llm.quality_rules import quality_rules
+from lodeline.llm.resampling import resample
 from lodeline.llm.token_counts import count_tokens
 from lodeline.llm.token_files import read_tokens, write_tokens
 from lodeline.llm.url_rules import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+PACK_END_ID = 0
 #: The rules that the query over pages judges by.
 URL_RULES = [
     ("net", "/", "block"),
@@ -84,10 +88,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer(), PACK_END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_token_files, op3_benchmark_decontamination, op4_source_mixing, op5_quality_rules,
         op6_url_rules, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_line_dedup,
+        op11_sequence_packing, op12_importance_resampling, op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -95,6 +113,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _crc_table() -> list[int]:
+    """The remainders of all bytes, which DuckDB has no function for."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    step = f"xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
 SQL = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (
@@ -161,6 +195,51 @@ m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT J
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_importance_resampling": f"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') FROM benchmark),
+x AS (SELECT side, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM w),
+f AS (
+  SELECT side, doc_id, unnest(flatten([
+    ws, list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' ')),
+    list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))])) AS f FROM x),
+k AS (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT side, doc_id, bucket, count(*) AS n FROM f JOIN k USING (f) GROUP BY ALL),
+h AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS t
+  FROM range(10000) AS r(b) LEFT JOIN c ON c.bucket = b GROUP BY b),
+a AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM h),
+g AS (
+  SELECT bucket, floor(1000 * ln(((h.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE) / ((h.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM h, a),
+z AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+o AS (
+  SELECT x.doc_id, len(ws) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || x.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM x LEFT JOIN z USING (doc_id) WHERE side = 'd'),
+p AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) FILTER (fit) OVER () AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 5 * n // 100 THEN r END AS rank FROM p""",
+    "op13_conversation_trie": f"""
+WITH t AS (
+  SELECT conv_id, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({{'id': id, 'w': words}} ORDER BY turn NULLS FIRST, id) AS own, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS q FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, d AS depth, q[1:d] AS q, d = len(q) AS ends FROM (SELECT *, unnest(range(0, len(q) + 1)) AS d FROM r)),
+n AS (
+  SELECT q, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY q, depth),
+k AS (SELECT q[1:depth - 1] AS q, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * n.q[n.depth].w ELSE 0 END AS saved
+  FROM n LEFT JOIN k ON n.depth = k.depth AND n.q = k.q),
+u AS (SELECT q[1:a] AS q, a AS depth, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM v)),
+s AS (SELECT q, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY q, depth)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s ON v.depth = s.depth AND v.q = s.q LEFT JOIN v p ON p.depth = v.depth - 1 AND p.q = v.q[1:v.depth - 1]""",
 }
 
 

@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeline.session import shared_dir
 
@@ -46,6 +47,26 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str, counted: Column) -> tuple[DataFrame, int]:
+    """All rows with their place in ``order``, from 0, and how many rows are ``counted``.
+
+    Rows are dealt by ranges of the order and sorted in their tasks; a part's base is a sum over one row per part.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # part in the upper bits, place in the part in the lower 33
+    rows, _ = keep(rows.withColumn(name, at), "numbered")
+    part = F.shiftright(name, 33)
+    parts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_if(counted).alias("counted"))
+    listed = parts.orderBy("part").collect()  # one row per part
+    bases, base = [], 0
+    for r in listed:
+        bases.append((r.part, base - (r.part << 33)))
+        base += r.n
+    shift = df.sparkSession.createDataFrame(bases, "part_ long, base_ long")
+    out = rows.join(F.broadcast(shift), part == F.col("part_")).withColumn(name, F.col(name) + F.col("base_"))
+    return out.drop("part_", "base_"), sum(r.counted for r in listed)
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object of one of our classes, with its class, since workers need no copy of this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
