@@ -41,6 +41,14 @@ def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that the table does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that :func:`keep` wrote, once nothing reads it any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -285,8 +285,10 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sums(pieces: DataFrame) -> DataFrame:
     """Every node ``(depth, a, b, pa, pb, low, words, v1, v2)``: its parent, least member, and its members' sums."""
-    order = ["depth", "a", "b", "ids", "conv_id"]
-    rows = pieces.select("conv_id", "depth", "a", "b", "ids", "words", "v1", "v2").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the driver sees a sample of what rows are dealt by, so only the first turns of a piece are part of it
+    dealt = ["depth", "a", "b", F.substring("ids", 1, 4 * TURN), "conv_id"]
+    rows = pieces.select("conv_id", "depth", "a", "b", "ids", "words", "v1", "v2").repartitionByRange(*dealt)
+    rows = rows.sortWithinPartitions("depth", "a", "b", "ids", "conv_id")
     parts = rows.mapInArrow(_grow, "depth long, a long, b long, pa long, pb long, low long, words long, v1 long, v2 long")
     return parts.groupBy("depth", "a", "b").agg(
         F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.min("low").alias("low"), F.max("words").alias("words"),

@@ -27,7 +27,7 @@ from lodeline.llm.common import mix, random_words, row_ranges, share, shared, te
 from lodeline.llm.words import MARKS, Hasher, windows
 
 SIMILAR = 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 5  # of items that walks look for; of a shorter one no word may change, so its run of words is its only piece
 WALKS = 4
 TABLES = 3  # of each walk
 PLACES = 4  # of each table
@@ -98,7 +98,7 @@ class Index:
     """Windows of the items of all length classes by key, and the pieces of the items."""
 
     def __init__(self, items: list[tuple[int, str]], similar: float = SIMILAR):
-        hasher = Hasher(lower=True, separators=MARKS)
+        hasher = Hasher(lower=True, separators=MARKS, unspaced=True)
         data, offsets = text_buffer(pa.array([t or "" for _, t in items], pa.large_string()))
         w = hasher.words(data, offsets)
         self.ids = [i for i, _ in items]
@@ -127,7 +127,7 @@ class Index:
         """The first words of the pieces of each item, by how many words these are."""
         of: dict[int, tuple[list, list, list]] = {}
         for k, words in enumerate(self.items):
-            if len(words) < LEAST_WORDS:
+            if not len(words):
                 continue
             pieces = allowed(len(words), similar) + 1
             size = min(LONGEST_RUN, len(words) // pieces)
@@ -181,10 +181,11 @@ def find_items(
 ) -> DataFrame:
     """``(doc_id, item_id, edits, item_words)``: documents that hold an item, with the fewest edits found.
 
-    Words are runs of letters and digits, A-Z lower-cased; every document is read whole. A document holds an item if some
-    stretch of it becomes the item by at most ``(1 - similar) * item words`` words changed, put in or left out. Items of
-    fewer than five words, null and empty ones are never found; neither is anything in a null or empty text. Rows that
-    repeat an id give one row for each item; so do items that repeat an id. Empty tables give an empty result. Items are
+    Words are runs of letters and digits, A-Z lower-cased, and single characters of scripts that put no space between
+    words; every document is read whole. A document holds an item if some
+    stretch of it becomes the item by at most ``(1 - similar) * item words`` words changed, put in or left out, so a short
+    item only by none. Null items and those without words are never found; neither is anything in a null or empty text.
+    Rows that repeat an id give one row for each item; so do items that repeat an id. Empty tables give an empty result. Items are
     looked for in blocks of ``block``, one pass over the documents each.
     """
     spark = docs.sparkSession
@@ -196,7 +197,7 @@ def find_items(
         index = share(spark, Index([tuple(r) for r in some], similar))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            hasher, index = Hasher(lower=True, separators=MARKS), shared(index)
+            hasher, index = Hasher(lower=True, separators=MARKS, unspaced=True), shared(index)
             own = lru_cache(1 << 12)(lambda item: frozenset(index.items[item].tolist()))
             for batch in batches:
                 data, offsets = text_buffer(batch.column(1))

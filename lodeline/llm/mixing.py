@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import WORD, keep
+from lodeline.llm.common import WORD, keep, unused
 
 DRAWS = 64
 _RANGE = 1 << 32
@@ -88,10 +88,10 @@ def plan_mix(
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`plan_mix` takes it, with all columns as they are."""
     names = {"id": "doc_id", "text": "text"} | {k: v for k, v in options.items() if k in ("id", "text")}
+    own, row, copies, copy = (unused(docs, c) for c in ("mix_id", "mix_row", "mix_copies", "mix_copy"))
     plan = plan_mix(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("copies").cast("int").alias("_mix_copies")
+        F.col("doc_id").alias(own), F.col("row").alias(row), F.col("copies").cast("int").alias(copies)
     ).distinct()
-    row = F.md5(F.coalesce(docs[names["text"]], F.lit("")))
-    on = docs[names["id"]].cast("long").eqNullSafe(plan["_mix_id"]) & (row == plan["_mix_row"])
-    out = docs.join(plan, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies")))
+    on = docs[names["id"]].cast("long").eqNullSafe(plan[own]) & (F.md5(F.coalesce(docs[names["text"]], F.lit(""))) == plan[row])
+    out = docs.join(plan, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*(docs[c] for c in docs.columns))

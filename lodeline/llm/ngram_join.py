@@ -194,6 +194,7 @@ def _sets(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array([len(u) for u in sets], pa.int64()),
                         pa.array([_name(u) for u in sets], pa.int64()),
                         pa.array([int(np.bitwise_xor.reduce(mix(u + np.uint64(1))).view(np.int64)) for u in sets], pa.int64()),
@@ -201,10 +202,10 @@ def _sets(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
                             np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys])
                         ),
                     ],
-                    names=["doc_id", "n", "f", "g", "keys"],
+                    names=["doc_id", "row", "n", "f", "g", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, f long, g long, keys array<long>")
 
 
 def _name(u: np.ndarray) -> int:
@@ -298,15 +299,20 @@ def jaccard_components(
     ``n_shingles`` counts the distinct runs of ``size`` words of the whole text, A-Z lower-cased; a shorter text is one
     run. Texts link when ``den * intersection >= num * union``; ``component_id`` is the smallest id that links reach.
     A null or empty text, or one without words, has no shingles and is its own component. Equal sets link as one. Rows
-    that repeat an id are kept, each with the component of its own text. A row without id takes the component of equal
-    sets, else null. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    that repeat an id are kept, each with the component of its own text. A row without id links like any other and takes
+    the smallest id that its links reach, else null. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     t = Threshold(num, den)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # a set's text is found by id and text, since ids may be null or stand for several texts
+    docs = docs.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    texts = docs.where("doc_id is not null").union(docs.where("doc_id is null").dropDuplicates(["row"])).select("row", "text")
     spark = docs.sparkSession
     sets, sets_path = keep(_sets(docs, size, t), "sets")
     # written, so that joins with it shuffle both sides and Spark can split a set that very many documents have
-    first, _ = keep(sets.where("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("first")), "first")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    first = sets.where("n > 0").groupBy("n", "f", "g").agg(least.alias("least"))
+    first, _ = keep(first.select("n", "f", "g", F.col("least.doc_id").alias("first"), "least.row"), "first")
     star, star_path = keep(_candidates(sets), "candidates")
     n_of = sets.groupBy("f").agg(F.max("n").alias("n"))
     weighed = lambda some: some.join(n_of, "f").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
@@ -315,8 +321,8 @@ def jaccard_components(
     spread, spread_path = keep(spread, "groups")
     rows = star.join(spread, "c").select("c", F.expr("pmod(xxhash64(f), tiles)").cast("int").alias("tile"), "f")
     rows = rows.union(spread.select("c", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("c").alias("f")))
-    names = first.select("f", F.col("first").alias("doc_id"))
-    members = rows.join(names, "f").join(docs, "doc_id").withColumns({"part": F.lit(0), "asks": F.lit(False)})
+    names = first.select("f", F.col("first").alias("doc_id"), "row")
+    members = rows.join(names, "f").join(texts, "row").withColumns({"part": F.lit(0), "asks": F.lit(False)})
     found, found_path = keep(_links(members, size, t), "found")
 
     links = found.where("b is not null").select("a", "b")
@@ -331,7 +337,7 @@ def jaccard_components(
             F.expr("pmod(xxhash64(f, 1), parts)").cast("int").alias("part"), "f", F.lit(True).alias("asks"),
         )
         asked = rows.join(parts, "c").select("c", "tile", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "f", F.lit(False).alias("asks"))
-        members = asked.union(asking).join(names, "f").join(docs, "doc_id")
+        members = asked.union(asking).join(names, "f").join(texts, "row")
         more, more_path = keep(_links(members, size, t), "found")
         links = links.union(more.where("b is not null").select("a", "b"))
         paths.append(more_path)

@@ -22,7 +22,7 @@ from lodeline.llm.common import keep, mix, row_ranges, text_buffer
 from lodeline.llm.tokens import PIECE, Encoder, load
 
 #: A shard ends at so many ids or documents; a longer document is a shard of its own.
-SHARD_IDS, SHARD_DOCS = 1 << 21, 2048
+SHARD_IDS, SHARD_DOCS = 1 << 20, 2048
 #: Ids of a document that ask the index, the rarest in the corpus.
 ASKED = 32
 #: The usual parameters of BM25.
@@ -213,8 +213,10 @@ def pack(
     encoded, _ = keep(encode(docs, content, end_id, id, text), "encoded")
     corpus = corpus_counts(encoded, vocabulary)
     counts = spark.sparkContext.broadcast((corpus.idf, corpus.mean, corpus.rarity))
-    order = ["key", F.asc_nulls_first("doc_id"), "n", "ids"]
-    rows = encoded.where("kind = 0").select("doc_id", "key", "n", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the driver sees a sample of what rows are dealt by, so their ids are not part of it
+    order = ["key", F.asc_nulls_first("doc_id"), "n", "tie"]
+    rows = encoded.where("kind = 0").select("doc_id", "key", "n", "ids", F.xxhash64("ids").alias("tie"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = Corpus.__new__(Corpus)

@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 
 from lodeline.llm.common import worker_store
 
-WORDS = 1 << 19  # of a generation
+WORDS = 3 << 17  # of a generation
 #: Bytes of text that are encoded at a time.
-PIECE = 1 << 23
+PIECE = 1 << 22
 #: Marks that, alone after a word, are a piece of their own.
 MARKS = ".,;:!?"
 #: Letters that every Unicode version knows, then a mark.

@@ -29,10 +29,18 @@ class Words(NamedTuple):
 MARKS = tuple(b for b in range(128) if not chr(b).isalnum())
 
 
+#: First bytes of kana and ideographs; Thai, Lao, Burmese and Khmer begin with E0 or E1 and some second bytes.
+UNSPACED = (0xE3, 0xE9)
+
+
 class Hasher:
-    """Splits bytes at white space, or at other bytes, and hashes the words; with ``lower``, A-Z count as a-z."""
+    """Splits bytes at white space, or at other bytes, and hashes the words; with ``lower``, A-Z count as a-z.
+
+    With ``unspaced``, each character of a script that puts no space between words is a word.
+    """
 
-    def __init__(self, lower: bool, separators: tuple[int, ...] = SPACES):
+    def __init__(self, lower: bool, separators: tuple[int, ...] = SPACES, unspaced: bool = False):
+        self.unspaced = unspaced
         self.space = np.zeros(256, bool)
         self.space[list(separators)] = True
         self.value = random_words(256, 7)
@@ -57,6 +65,11 @@ class Hasher:
         first[1:-1] = space[:-1]
         inner = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a
         first[inner] = True
+        if self.unspaced:
+            at = np.flatnonzero((x >= UNSPACED[0]) & (x <= UNSPACED[1]))
+            south = np.flatnonzero((x[:-1] == 0xE0) & (x[1:] >= 0xB8) & (x[1:] <= 0xBB) | (x[:-1] == 0xE1) & ((x[1:] == 0x80) | (x[1:] == 0x81) | (x[1:] == 0x9E)))
+            at = np.concatenate([at, south])
+            first[at] = first[np.minimum(at + 3, b - a)] = True
         last = first[1:].copy()
         last[:-1] |= space[1:]
         # an edge closes the word before it and opens the one after it; white space closes and opens as well

@@ -88,3 +88,15 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], df.schema)
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, df, SF).collect())
     assert got == Counter((i, t) for i, t in rows if item not in (t or ""))
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that stages use inside keep their values."""
+    names = ["row_key", "mix_copies", "mix_copy", "mix_id", "mix_row", "_mix_copies", "component", "component_id", "place", "key", "copies"]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "s", 0, *(f"{n}{i}" for n in names)) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontaminate, corpus_pipeline.mix):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns
+        assert {tuple(r) for r in got.collect()} == set(rows), stage.__name__
