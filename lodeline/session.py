@@ -60,11 +60,12 @@ def written_once(spark: SparkSession, label: str, build: Callable[[], DataFrame]
     return spark.read.parquet(_written[key])
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back, cutting its lineage there."""
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, cutting its lineage there; ``by`` names a column
+    of few values whose rows are read apart."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeline/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.parquet(path)
 
 

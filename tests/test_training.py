@@ -33,7 +33,7 @@ def test_out_of_fold(table):
     rows, columns = table
     oof = training.out_of_fold(rows, columns, [1, 2], SMALL)
     assert oof.count() == rows.count() == oof.select("well_id", "row_idx").distinct().count()
-    assert oof.columns == ["well_id", "row_idx", "fold", "y_true", "y_pred", "baseline"]
+    assert oof.columns == ["well_id", "row_idx", "fold", "y_true", "y_pred", "baseline", "trees"]
     with pytest.raises(ValueError):
         training.out_of_fold(rows.withColumn("fold", F.col("row_idx") % 2), columns, [1], SMALL)
 
@@ -46,11 +46,57 @@ def test_rows_of_a_fold_do_not_train_its_models(table):
     np.testing.assert_allclose(pa, pb)
 
 
-def test_early_stopping(table):
+def test_best_prefix():
+    errors = [5.0, 4.0, 3.0, 3.5, 3.2, 2.0, 2.0, 2.1, 2.2, 1.0]
+    assert training.best_prefix(errors, 2) == (3, True)
+    assert training.best_prefix(errors, 3) == (6, True)
+    assert training.best_prefix(errors, 4) == (10, False)
+    assert training.best_prefix([1.0], 1) == (1, False)
+
+
+@pytest.mark.parametrize("loss", ["squared", "absolute"])
+def test_patience_cuts_behind_the_best_tree(table, loss):
+    rows, columns = table
+    params = training.Params(trees=24, depth=2, min_rows=1, learning_rate=0.5, patience=3, loss=loss)
+    held = rows.filter("fold = 0")
+    fitted = training.fit_seeds(rows.filter("fold <> 0"), columns, [3], params, held)
+    whole = training.Params(trees=24, depth=2, min_rows=1, learning_rate=0.5, loss=loss).estimator(3).fit(training.assemble(rows.filter("fold <> 0"), columns))
+    errors = whole.evaluateEachIteration(training.assemble(held, columns), loss)
+    best, _ = training.best_prefix(errors, 3)
+    assert fitted.models[0].getNumTrees == best < 24
+    np.testing.assert_allclose(fitted.errors[0], errors[: len(fitted.errors[0])])
+    cut = fitted.predict(held).toPandas()
+    e = (cut.y_pred - cut.target).abs()
+    assert ((e**2).mean() if loss == "squared" else e.mean()) == pytest.approx(errors[best - 1])
+    assert (e**2).mean() if loss == "squared" else e.mean() == pytest.approx(errors[best - 1])
+    if loss == "squared":
+        assert (e**2).mean() == pytest.approx(errors[best - 1])
+
+
+def test_final_model_with_patience(table, tmp_path, spark):
+    rows, columns = table
+    params = training.Params(trees=16, depth=2, min_rows=1, learning_rate=0.5, patience=2)
+    model = training.fit_final(rows, columns, [3, 4], params, holdout=0.5)
+    assert all(m.getNumTrees <= 16 for m in model.models) and len(model.errors) == 2
+    training.save_model(spark, model, str(tmp_path / "m"))
+    loaded, _ = training.load_model(spark, str(tmp_path / "m"))
+    a, b = (m.predict(rows).orderBy("well_id", "row_idx").toPandas().y_pred for m in (model, loaded))
+    np.testing.assert_allclose(a, b)
+
+
+def test_features_by_fold_reach_their_fold_only(table):
     rows, columns = table
-    params = training.Params(trees=20, depth=2, min_rows=1, early_stopping=True, tolerance=10.0)
-    model = training.fit_final(rows, columns, [3], params, holdout=0.5)
-    assert model.models[0].getNumTrees < 20
+    keys = rows.select("well_id", "row_idx", F.col("fold").alias("own"), "target").crossJoin(rows.select(F.col("fold").alias("fold")).distinct())
+    # a feature that gives the target away, but only to the models of one fold
+    by_fold = keys.select("well_id", "row_idx", "fold", F.when(F.col("fold") == 1, F.col("target")).otherwise(0.0).alias("hint"))
+    params = training.Params(trees=12, depth=3, min_rows=1, learning_rate=0.5)
+    oof = training.out_of_fold(rows, columns, [1], params, by_fold=by_fold).toPandas()
+    assert len(oof) == rows.count()
+    plain = training.out_of_fold(rows, columns, [1], params).toPandas()
+    both = oof.merge(plain, on=["well_id", "row_idx", "fold", "y_true"])
+    other, seen = both[both.fold != 1], both[both.fold == 1]
+    np.testing.assert_allclose(other.y_pred_x, other.y_pred_y)
+    assert ((seen.y_true - seen.y_pred_x) ** 2).mean() < 0.7 * ((seen.y_true - seen.y_pred_y) ** 2).mean()
 
 
 def test_saved_model_scores_the_same(spark, table, tmp_path):
