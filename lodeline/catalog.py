@@ -208,15 +208,36 @@ def _param_search(spark: SparkSession, sf: str) -> DataFrame:
     return training.param_search(table, columns, SEARCH, trials=10)
 
 
+POSTPROC = {"savgol_window": 31, "savgol_polyorder": 2, "clip_lower": 5050.0, "clip_upper": 5350.0, "apply_order": "smooth_clip"}
+
+
+def _saved_model(spark: SparkSession, sf: str) -> tuple[training.Ensemble, dict]:
+    """The final model, trained and saved once for a session, as another session would load it."""
+    path = f"{shared_dir(spark)}/lodeline/{spark.sparkContext.applicationId}/model-{sf.strip('/').replace('/', '-')}"
+    if path not in _models:
+        table, columns = training_table(spark, sf)
+        ensemble = training.fit_final(table, columns, SEEDS, MODEL)
+        training.save_model(spark, ensemble, path, postproc=POSTPROC, cv_rmse_mean=None)
+        _models.add(path)
+    return training.load_model(spark, path)
+
+
+_models: set[str] = set()
+
+
 def _model_contract(spark: SparkSession, sf: str) -> DataFrame:
-    table, columns = training_table(spark, sf)
-    ensemble = training.fit_final(table, columns, SEEDS, MODEL)
-    path = f"{shared_dir(spark)}/lodeline/{spark.sparkContext.applicationId}/model"
-    training.save_model(
-        spark, ensemble, path, postproc={"savgol_window": 31, "savgol_polyorder": 2}, cv_rmse_mean=None
-    )
-    loaded, contract = training.load_model(spark, path)
-    return training.score(table, loaded, contract)
+    return training.score(training_table(spark, sf)[0], *_saved_model(spark, sf))
+
+
+def _predict_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Every id of the sample in its order, predicted by the saved model and clipped last to the bounds saved with it."""
+    df = S.series(spark, sf).filter("split = 'test'")
+    table = features.feature_table(df, feature_flags(), keep=["tvt_input"])
+    rows = A.join_anchors(spread(table), A.anchors(df).select("well_id", "n", "last_known"))
+    sample = with_file_order(ids(spark, sf))
+    out = predict.predict_pipeline(sample, rows.withColumnRenamed("last_known", "baseline"), *_saved_model(spark, sf))
+    inside = F.col("tvt").between(POSTPROC["clip_lower"], POSTPROC["clip_upper"])
+    return out.select("pos", "id", inside.alias("inside"))
 
 
 def _group_holdout(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,13 +311,14 @@ def _predict_join(spark: SparkSession, sf: str) -> DataFrame:
 def _validate_output(spark: SparkSession, sf: str) -> DataFrame:
     expected = with_file_order(ids(spark, sf))
     made = predict.naive_predict(expected, S.series(spark, sf))
-    # Damage the copy: some ids swapped with their neighbour's, some values not numbers or infinite.
+    # Damage the copy: some ids changed, some values not numbers or infinite, some lines lost, one column too many.
     k = F.col("pos") % 50
     actual = made.select(
         "pos",
         F.when(k == 3, F.concat("id", F.lit("0"))).otherwise(F.col("id")).alias("id"),
         F.when(k == 5, F.lit("n/a")).when(k == 7, F.lit("Infinity")).otherwise(F.col("tvt").cast("string")).alias("tvt"),
-    )
+        F.lit("").alias("note"),
+    ).filter(k != 11)
     return contracts.validate_output(expected, actual)
 
 
@@ -429,6 +451,7 @@ def queries() -> dict[str, Query]:
         "naive_predict": _naive_predict,
         "validate_output": _validate_output,
         "model_contract": _model_contract,
+        "predict_pipeline": _predict_pipeline,
         # reference curves
         "interp_asof": pair(refcurve.interp_asof),
         "nearest_asof": pair(refcurve.nearest_asof),

@@ -905,12 +905,13 @@ def _tables() -> dict[str, str]:
         f"""WITH {ids} SELECT id, coalesce(last_known, (SELECT median(tvt) FROM series WHERE split = 'train')) AS tvt
         FROM ids JOIN anchors USING (well_id)""",
     )
+    sql["predict_pipeline"] = _with("series", f"WITH {ids} SELECT pos, id, true AS inside FROM ids")
     sql["validate_output"] = _with(
         "series",
         f"""WITH {ids}, v AS (SELECT count(*) FILTER (WHERE pos % 50 = 3) AS i, count(*) FILTER (WHERE pos % 50 = 5) AS q,
-          count(*) FILTER (WHERE pos % 50 = 7) AS f FROM ids)
-        SELECT 'columns' AS "check", CAST(0 AS bigint) AS violations UNION ALL SELECT 'row_count', 0
-        UNION ALL SELECT 'id_order', i FROM v UNION ALL SELECT 'not_numeric', q FROM v UNION ALL SELECT 'not_finite', f FROM v""",
+          count(*) FILTER (WHERE pos % 50 = 7) AS f, count(*) FILTER (WHERE pos % 50 = 11) AS r FROM ids)
+        SELECT 'columns' AS "check", CAST(1 AS bigint) AS violations UNION ALL SELECT 'row_count', r FROM v
+        UNION ALL SELECT 'id_order', i + r FROM v UNION ALL SELECT 'not_numeric', q FROM v UNION ALL SELECT 'not_finite', f FROM v""",
     )
     sql["set_ops"] = _with(
         "series",

@@ -4,7 +4,8 @@ from conftest import make_series, series_df
 from pyspark.sql import functions as F
 
 from lodeline.operators import anchors as A
-from lodeline.plans import features, training
+from lodeline.operators import savgol
+from lodeline.plans import features, predict, training
 
 FLAGS = features.Flags(geometry=True, gr=True)
 SMALL = training.Params(trees=3, depth=2, min_rows=1)
@@ -114,6 +115,32 @@ def test_saved_model_scores_the_same(spark, table, tmp_path):
         training.score(rows.drop(columns[0]), loaded, contract)
 
 
+def test_prediction_plan(spark, table):
+    rows, columns = table
+    ensemble = training.fit_seeds(rows, columns, [1], SMALL)
+    contract = {"residual_target": True, "postproc": {"savgol_window": "5", "savgol_polyorder": "2", "clip_lower": "None"}}
+    ids = rows.filter("row_idx >= 20").select(F.concat_ws("_", "well_id", "row_idx").alias("id"), (F.col("row_idx") * 10).alias("pos"))
+    raw = training.score(rows, ensemble, contract).filter("row_idx >= 20")
+    key = lambda df: {r["id"]: r["tvt"] for r in df.collect()}
+    named = lambda df: key(df.select(F.concat_ws("_", "well_id", "row_idx").alias("id"), "tvt"))
+    run = lambda **kw: predict.predict_pipeline(ids, rows, ensemble, contract, **kw)
+    stored = run()
+    assert stored.columns == ["id", "pos", "tvt"]
+    assert key(stored) == pytest.approx(named(savgol.smooth(raw, "tvt", 5, 2))) and key(stored) != pytest.approx(named(raw))
+    assert key(run(off=True)) == pytest.approx(named(raw))
+    mid = float(np.median(list(named(raw).values())))
+    clipped = key(run(wanted=predict.Postprocessing(clip_lower=mid - 1, clip_upper=mid + 1, apply_order="smooth_clip")))
+    assert clipped == pytest.approx({k: min(max(v, mid - 1), mid + 1) for k, v in named(raw).items()})
+    with pytest.raises(Exception, match="."):
+        predict.predict_pipeline(ids.union(spark.createDataFrame([("w000_9999", 1)], ids.schema)), rows, ensemble, contract).collect()
+
+
+@pytest.mark.parametrize("bad", [{"savgol_window": "4"}, {"clip_lower": "1"}, {"clip_lower": "2", "clip_upper": "1"}, {"apply_order": "both"}, {"other": "1"}])
+def test_stored_postprocessing_is_checked(bad):
+    with pytest.raises(ValueError):
+        predict.Postprocessing.stored({"postproc": bad})
+
+
 def test_search_is_sorted(table):
     rows, columns = table
     out = training.param_search(rows, columns, SMALL, trials=2).collect()
