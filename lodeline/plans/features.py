@@ -127,11 +127,16 @@ def feature_columns(table: DataFrame, keep: list[str] = ()) -> list[str]:
 
 
 def cached_feature_table(df: DataFrame, flags: Flags, source: str, reference: DataFrame | None = None, **kw) -> DataFrame:
-    """The table written to the shared folder under a digest of its settings and inputs, and read from there afterwards.
+    """The table written to the shared folder under a digest of its settings and inputs, and read from there afterwards,
+    by other sessions as well.
 
-    Inputs are told apart by ``source``, their columns and the files they are read from.
+    Inputs are told apart by ``source``, their columns and the paths, sizes and times of the files they are read from.
+    Inputs that are read from no files are told apart within a session only.
     """
-    settings = sorted((asdict(flags) | {k: str(v) for k, v in kw.items()}).items())
-    inputs = [(t.schema.json(), sorted(t.inputFiles())) for t in (df, reference) if t is not None]
+    tables = [t for t in (df, reference, kw.get("known")) if t is not None]
+    plain = {k: str(v) for k, v in kw.items() if k != "known"}
+    settings = sorted((asdict(flags) | plain).items())
+    inputs = [(t.schema.json(), sorted(t.inputFiles())) for t in tables]
     digest = hashlib.sha256(repr((source, settings, inputs)).encode()).hexdigest()
-    return written_once(df.sparkSession, f"features:{digest}", lambda: feature_table(df, flags, reference, **kw))
+    sources = tables if all(files for _, files in inputs) else None
+    return written_once(df.sparkSession, f"features:{digest}", lambda: feature_table(df, flags, reference, **kw), sources)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[tuple[str, str], str] = {}
 _own_folder: dict[str, str] = {}
@@ -46,20 +47,70 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def written_once(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+#: Part of the name of every stored table; to be raised when a derived table changes its content.
+STORE_VERSION = 1
+
+
+def written_once(spark: SparkSession, label: str, build: Callable[[], DataFrame], sources: list[DataFrame] | None = None) -> DataFrame:
     """Write ``build()`` to the shared folder on first use; later calls read the same files.
 
-    The files outlive the loss of an executor, and readers still prune columns and push filters down.
+    The files outlive the loss of an executor, and readers still prune columns and push filters down. With ``sources``, the
+    tables that it is built from, other sessions find it too, as long as the files of the sources are the same.
     """
     key = (spark.sparkContext.applicationId, label)
     if key not in _written:
-        digest = hashlib.sha256(label.encode()).hexdigest()[:16]
-        path = f"{shared_dir(spark)}/lodeline/{key[0]}/{digest}"
-        build().write.mode("overwrite").parquet(path)
+        if sources is None:
+            path = f"{shared_dir(spark)}/lodeline/{key[0]}/{hashlib.sha256(label.encode()).hexdigest()[:16]}"
+            build().write.mode("overwrite").parquet(path)
+        else:
+            name = hashlib.sha256(repr((STORE_VERSION, label, [fingerprint(s) for s in sources])).encode()).hexdigest()
+            path = _stored(spark, f"{shared_dir(spark)}/lodeline/store/{name[:32]}", build)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
 
+def fingerprint(df: DataFrame) -> tuple:
+    """Tells contents apart by the columns and by the paths, sizes and times of the files that are read."""
+    files = df.inputFiles()
+    if not files:
+        return df.schema.json(), None
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    sign = listed.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return df.schema.json(), tuple(map(str, sign))
+
+
+def _stored(spark: SparkSession, home: str, build: Callable[[], DataFrame]) -> str:
+    """Folder of the table that ``home``'s manifest names; it is built first where there is none.
+
+    Data go to a folder of their own, and the manifest gets its name when both are whole. Sessions that build side by
+    side all read what the manifest names in the end.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    manifest = hadoop.Path(f"{home}/manifest")
+    fs = manifest.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def named() -> str | None:
+        if not fs.exists(manifest):
+            return None
+        path = spark.read.text(str(manifest)).first()["value"]
+        return path if fs.exists(hadoop.Path(f"{path}/_SUCCESS")) else None
+
+    path = named()
+    if path is None:
+        made = f"{home}/data-{uuid.uuid4().hex}"
+        build().write.parquet(made)
+        draft = hadoop.Path(f"{home}/.manifest-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(made.encode()))
+        out.close()
+        if fs.exists(manifest) and named() is None:
+            fs.delete(manifest, False)  # what it names is gone
+        if not fs.rename(draft, manifest):
+            fs.delete(draft, False)
+        path = named() or made
+    return path
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back, cutting its lineage there; ``by`` names a column
     of few values whose rows are read apart."""

@@ -15,13 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ordered series per supplier, in shipping order; written once per session."""
-    return written_once(spark, f"series:{sf_dir}", lambda: _derive_series(spark, sf_dir))
+    """One ordered series per supplier, in shipping order; written once for the same line items."""
+    return written_once(spark, f"series:{sf_dir}", lambda: _derive_series(spark, sf_dir), [table(spark, sf_dir, "lineitem")])
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reference curve per supplier: a row for each part it ships; written once per session."""
-    return written_once(spark, f"reference:{sf_dir}", lambda: _derive_reference(spark, sf_dir))
+    """One reference curve per supplier: a row for each part it ships; written once for the same tables."""
+    inputs = [table(spark, sf_dir, name) for name in ("lineitem", "part")]
+    return written_once(spark, f"reference:{sf_dir}", lambda: _derive_reference(spark, sf_dir), inputs)
 
 
 def _derive_series(spark: SparkSession, sf_dir: str) -> DataFrame:

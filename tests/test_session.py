@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -34,6 +35,41 @@ def test_written_once(spark):
     assert len(calls) == 1 and a.count() == b.count() == 5 and a.inputFiles() == b.inputFiles()
 
 
+def test_other_sessions_find_what_was_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "shared"))
+    path, calls = str(tmp_path / "input"), []
+    spark.range(5).write.parquet(path)
+
+    def ask(label="five", new_session=True):
+        if new_session:
+            monkeypatch.setattr(session, "_written", {})
+        source = spark.read.parquet(path)
+        return session.written_once(spark, label, lambda: calls.append(1) or source.withColumn("x", source.id * 2), [source])
+
+    first = ask()
+    assert ask().inputFiles() == first.inputFiles() and ask(new_session=False).count() == 5 and len(calls) == 1
+    assert ask("other").inputFiles() != first.inputFiles() and len(calls) == 2
+    spark.range(9).write.mode("overwrite").parquet(path)  # changed input misses
+    assert ask().count() == 9 and len(calls) == 3
+    spark.read.parquet(path).limit(1).collect()
+    import shutil
+
+    found = ask()
+    shutil.rmtree(os.path.dirname(found.inputFiles()[0].removeprefix("file://")))  # what the manifest names is gone
+    assert ask().count() == 9 and len(calls) == 4
+    assert ask().count() == 9 and len(calls) == 4
+
+
+def test_a_failed_build_leaves_nothing_to_find(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "shared"))
+    monkeypatch.setattr(session, "_written", {})
+    spark.range(5).write.parquet(str(tmp_path / "input"))
+    source = spark.read.parquet(str(tmp_path / "input"))
+    with pytest.raises(Exception):
+        session.written_once(spark, "five", lambda: source.selectExpr("raise_error('no') AS x"), [source])
+    assert session.written_once(spark, "five", lambda: source, [source]).count() == 5
+
+
 def test_task_count(spark):
     cores = spark.sparkContext.defaultParallelism
     assert session.task_count(spark, 1, 10) == cores and session.task_count(spark, 10_000, 10) == 1000
