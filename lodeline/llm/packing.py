@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import keep, mix, row_ranges, text_buffer
+from lodeline.llm.common import keep, row_ranges, text_buffer
 from lodeline.llm.tokens import PIECE, Encoder, load
 
 #: A shard ends at so many ids or documents; a longer document is a shard of its own.
@@ -41,11 +41,20 @@ class Corpus:
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's ids in order, and how often it holds each."""
-    s = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    s, new = _ordered(ids)
+    at = np.flatnonzero(new)
     return s[at], np.diff(np.append(at, len(s)))
 
 
+def _ordered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids, and which of them differ from the one before."""
+    s = np.sort(ids, kind="stable")  # of 16-bit integers, by radix
+    new = np.empty(len(s), bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s, new
+
+
 class Shard:
     """An inverted index: for each id, the documents that hold it and what it adds to their scores."""
 
@@ -134,8 +143,11 @@ def _powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
 
 def _keys(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The least hash of a pair of ids that follow each other, for each row; rows have an id at least."""
-    pairs = mix((ids[:-1].astype(np.uint64) << np.uint64(32)) + ids[1:].astype(np.uint64) + np.uint64(1))
-    pairs = np.append(pairs, np.uint64(0)) | np.uint64(1)
+    wide = ids.astype(np.uint64)
+    pairs = np.empty(len(ids), np.uint64)
+    pairs[:-1] = ((wide[:-1] << np.uint64(32)) + wide[1:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    pairs ^= pairs >> np.uint64(32)  # high bits depend on all of a product's factors, low ones do not
+    pairs *= np.uint64(0xD6E8FEB86659FD93)
     pairs[bounds[1:] - 1] = np.uint64((1 << 64) - 1)  # the last id of a row begins no pair
     return np.minimum.reduceat(pairs, bounds[:-1]).view(np.int64)
 
@@ -158,7 +170,8 @@ def encode(docs: DataFrame, content: bytes, end_id: int, id: str, text: str) ->
                 ids = np.insert(ids, bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    holders[distinct(ids[a:b])[0]] += 1
+                    s, new = _ordered(ids[a:b])
+                    holders[s[new]] += 1
                 rows, total = rows + j - i, total + len(ids)
                 flat = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
