@@ -14,7 +14,7 @@ from lodeline.operators import anchors as A
 from lodeline.operators import baselines as B
 from lodeline.operators import windows as W
 from lodeline.plans import features, predict, training
-from lodeline.session import shared_dir, stage, written_once
+from lodeline.session import folder_once, shared_dir, stage, written_once
 from lodeline.sources import files
 from lodeline.sources import tables as S
 
@@ -263,6 +263,17 @@ def _inventory(spark: SparkSession, sf: str) -> DataFrame:
     return files.inventory(facts)
 
 
+def on_files(fn: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """A query that reads the series and curves from CSV files."""
+    return lambda spark, sf: fn(spark, S.csv_folder(spark, sf))
+
+
+def _read_sample(spark: SparkSession, sf: str) -> DataFrame:
+    asked = with_file_order(ids(spark, sf)).withColumn("tvt", F.lit("0.0"))
+    path = folder_once(spark, f"sample:{sf}", lambda p: files.write_submission(asked, f"{p}/sample_submission.csv"))
+    return files.read_sample(spark, path)
+
+
 def ids(spark: SparkSession, sf: str) -> DataFrame:
     return predict.submission_ids(S.series(spark, sf))
 
@@ -443,6 +454,12 @@ def queries() -> dict[str, Query]:
         "continuity": on_series(lambda d: W.continuity(d, "tvt", limit=1.5)),
         # scans, sinks and contracts
         "inventory": _inventory,
+        "read_series": on_files(files.read_series),
+        "read_reference": on_files(files.read_reference),
+        "read_sample": _read_sample,
+        "read_ids": on_files(files.list_series),
+        "read_inventory": on_files(lambda spark, d: files.inventory(files.file_facts(spark, d))),
+        "read_problems": on_files(files.problems),
         "oof_roundtrip": _oof_roundtrip,
         "parse_id": lambda spark, sf: contracts.parse_id(ids(spark, sf)),
         "nonfinite_report": _nonfinite,

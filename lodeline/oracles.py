@@ -875,6 +875,33 @@ def _tables() -> dict[str, str]:
     for m, e in (("count", "count(*)"), ("min", "min(rows)"), ("median", "CAST(floor(median(rows)) AS bigint)"), ("max", "max(rows)")):
         lines.append(f"SELECT split, 'rows', kind, '{m}', {e} FROM facts GROUP BY split, kind")
     sql["inventory"] = _with("series reference", f"WITH {facts} {' UNION ALL '.join(lines)}")
+    # The files leave out and spoil the same values (csv_folder in sources/tables.py).
+    spoilt = "gr IS NOT NULL AND row_idx % 101 = 7"
+    tops = ", ".join(f"CASE WHEN split = 'train' THEN {f} END AS {f}" for f in ["tvt", *FORMATIONS])
+    sql["read_series"] = _with(
+        "series", f"SELECT well_id, row_idx, split, md, x, y, z, CASE WHEN NOT ({spoilt}) THEN gr END AS gr, tvt_input, {tops} FROM series"
+    )
+    kinds = "(SELECT DISTINCT well_id, split FROM series)"
+    sql["read_reference"] = _with(
+        "series reference",
+        f"SELECT well_id, tw_idx, split, tvt, CASE WHEN split = 'train' THEN gr END AS gr, geology FROM reference JOIN {kinds} USING (well_id)",
+    )
+    sql["read_sample"] = _with(
+        "series",
+        """SELECT CAST(row_number() OVER (ORDER BY CAST(substr(well_id, 2) AS bigint), row_idx) - 1 AS int) AS pos,
+        well_id || '_' || row_idx AS id, '0.0' AS tvt FROM series WHERE split = 'test' AND tvt_input IS NULL""",
+    )
+    sql["read_ids"] = _with("series", "SELECT DISTINCT split, well_id FROM series")
+    heads = f"""CASE WHEN kind = 'typewell' THEN CASE split WHEN 'train' THEN 'TVT,GR,Geology' ELSE 'TVT,Geology' END
+        WHEN split = 'train' THEN 'Note,MD,X,Y,Z,GR,TVT,TVT_input,{",".join(f.upper() for f in FORMATIONS)}' ELSE 'TVT_input,GR,Z,Y,X,MD' END"""
+    named = f"SELECT split, 'headers', kind || ': ' || {heads}, 'files', count(*) FROM facts GROUP BY split, kind"
+    sql["read_inventory"] = _with("series reference", f"WITH {facts} {' UNION ALL '.join([*lines, named])}")
+    sql["read_problems"] = _with(
+        "series reference",
+        f"""SELECT split, well_id, 'horizontal_well' AS kind, row_idx, 'number' AS problem, 'GR' AS "column", 'n.v.' AS value
+        FROM series WHERE {spoilt} UNION ALL SELECT DISTINCT 'test', well_id, 'typewell', CAST(NULL AS int), 'missing', 'GR', NULL
+        FROM reference JOIN {kinds} USING (well_id) WHERE split = 'test'""",
+    )
     sql["oof_roundtrip"] = _with("oof", "SELECT well_id, row_idx, fold, y_true, y_pred, baseline FROM oof")
     sql["parse_id"] = _with(
         "series",

@@ -69,6 +69,16 @@ def written_once(spark: SparkSession, label: str, build: Callable[[], DataFrame]
     return spark.read.parquet(_written[key])
 
 
+def folder_once(spark: SparkSession, label: str, write: Callable[[str], None]) -> str:
+    """Folder of the shared folder that ``write`` fills on first use in this application."""
+    key = (spark.sparkContext.applicationId, f"folder:{label}")
+    if key not in _written:
+        path = f"{shared_dir(spark)}/lodeline/{key[0]}/{hashlib.sha256(key[1].encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
 def fingerprint(df: DataFrame) -> tuple:
     """Tells contents apart by the columns and by the paths, sizes and times of the files that are read."""
     files = df.inputFiles()

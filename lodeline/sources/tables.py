@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeline.session import written_once
+from lodeline.session import folder_once, written_once
+from lodeline.sources import files
 
 FORMATIONS = ["ancc", "astnu", "astnl", "egfdu", "egfdl", "buda"]
 
@@ -97,6 +98,38 @@ def _derive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the series and curves as CSV files, written once; with what readers meet in files from elsewhere.
+
+    Train files have a column of quoted notes with commas, quotes and line feeds. Test files have their columns in another
+    order, no target and no formations, and their curves no signal. A missing signal is blank or ``NaN``, and some are
+    the text ``n.v.``, which is no number.
+    """
+
+    def write(path: str) -> None:
+        i, gr = F.col("row_idx"), F.col("gr")
+        text = (
+            F.when(gr.isNull(), F.when(i % 2 == 0, F.lit("NaN"))).when(i % 101 == 7, F.lit("n.v.")).otherwise(gr.cast("string"))
+        ).alias("GR")
+        note = F.when(i % 97 == 3, F.lit('lost, "tool"\n\nand back')).otherwise(F.concat(F.lit("row "), i.cast("string"))).alias("Note")
+        names = {c.lower(): c for c in files.SERIES_COLUMNS}
+        rows = series(spark, sf_dir)
+
+        def named(*cols: str) -> list[Column]:
+            return [F.col(c).alias(names[c]) for c in cols]
+
+        train = rows.filter("split = 'train'").select("well_id", "row_idx", note, *named("md", "x", "y", "z"), text, *named("tvt", "tvt_input", *FORMATIONS))
+        test = rows.filter("split = 'test'").select("well_id", "row_idx", *named("tvt_input"), text, *named("z", "y", "x", "md"))
+        curves = reference(spark, sf_dir).join(rows.select("well_id", "split").distinct(), "well_id")
+        curves = curves.select("well_id", "tw_idx", "split", F.col("tvt").alias("TVT"), F.col("gr").alias("GR"), F.col("geology").alias("Geology"))
+        for split, part in (("train", train), ("test", test)):
+            files.write_files(part, f"{path}/{split}/series", files.SERIES_SUFFIX)
+            curve = curves.filter(F.col("split") == split).drop("split", *(["GR"] if split == "test" else []))
+            files.write_files(curve, f"{path}/{split}/curves", files.REFERENCE_SUFFIX, "tw_idx")
+
+    return folder_once(spark, f"csv:{sf_dir}", write)
+
+
 def series_name(key: Column) -> Column:
     """Name of a series: its key with six digits at least. A longer key is never cut."""
     digits = key.cast("string")
