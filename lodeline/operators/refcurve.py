@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.blocks import BLOCK_ROWS, KEYS, per_block, settle, small_side, spread
+from lodeline.functions.blocks import BLOCK_ROWS, KEYS, frame, is_home, per_block, settle, small_side, spread
 from lodeline.functions.scalars import is_finite
 from lodeline.operators.anchors import anchors, join_anchors
 
@@ -135,10 +135,13 @@ def window_match(
 ) -> DataFrame:
     """Target of the curve window whose signal is closest to the signal around each row from the cut on.
 
-    ``df`` carries the ``anchor`` column. Series rows and curve rows are cut into blocks; only pairs of blocks
-    whose anchor range and target range overlap meet, so a task holds two blocks however long the series or the
-    curve is. Each pair gives one best start per row, and the smallest (distance, start) over pairs wins.
+    ``df`` carries the ``anchor`` column. The curve rows whose target lies within ``band`` of the anchor, in the order of the
+    curve, make up the windows; a curve may run up and down. Targets are cut into buckets of the band's width: a row meets
+    the curve rows of three buckets, by equality. Rows are also cut into blocks and curve rows into chunks, so a
+    task holds one of each, however long the series or the curve is. Each pair gives one best start per row, and
+    the smallest (distance, start) over pairs wins.
     """
+    width = float(band) if band > 0 else 1.0
     per_series = anchors(df).select("well_id", "n", "ps")
     signal = F.coalesce(F.col("gr"), F.lit(0.0))
     blocked = (
@@ -146,57 +149,73 @@ def window_match(
         .join(per_block(per_series, block), KEYS)
         .select(*KEYS, "row_idx", signal.alias("gr"), F.col(anchor).alias("anchor"), "n", "ps")
     )
+    searched = is_finite(F.col("anchor")) & (F.col("row_idx") >= F.col("ps")) & is_home(block)
+    own = F.when(searched, F.floor(F.col("anchor") / width))
+    left = (
+        blocked.withColumn("own", own)
+        .withColumn("near", F.collect_set("own").over(frame(window, window)))
+        .withColumn("bucket", F.explode("near"))
+        .select(*KEYS, "bucket", "row_idx", "gr", "anchor", "n", F.coalesce(F.col("own") == F.col("bucket"), F.lit(False)).alias("home"))
+    )
+
     long_enough = reference.groupBy("well_id").agg(F.count("*").alias("m")).filter("m >= 3").select("well_id")
-    curve = curve_with(reference, long_enough).select(
-        "well_id", F.col("tw_idx").alias("row_idx"), "tvt", signal.alias("gr")
+    at, eps = F.col("tvt") / width, 1e-6
+    curve = (
+        curve_with(reference, long_enough)
+        .filter(is_finite(F.col("tvt")))
+        .withColumn("bucket", F.explode(F.sequence(F.floor(at - band / width - eps), F.floor(at + band / width + eps))))
+        .select("well_id", "bucket", F.floor(F.col("tw_idx") / block).alias("chunk"), "tw_idx", "tvt", signal.alias("gr"))
     )
-    # A window starting in a curve block may run 2 * window rows into the next one.
-    curve = spread(curve, 0, 2 * window, block).withColumnRenamed("block", "curve_block")
-
-    wanted = F.when(
-        is_finite(F.col("anchor"))
-        & (F.col("row_idx") >= F.col("ps"))
-        & (F.floor(F.col("row_idx") / block) == F.col("block")),
-        F.col("anchor"),
+    # A window that starts in a chunk ends, at the latest, where 2 * window rows have followed that lie in the band of
+    # every anchor of the bucket.
+    low, high = (F.col("bucket") + 1) * width - band, F.col("bucket") * width + band
+    sure = (F.col("tvt") > low + eps * width) & (F.col("tvt") < high - eps * width)
+    line = Window.partitionBy("well_id", "bucket")
+    chunks = (
+        curve.groupBy("well_id", "bucket", "chunk")
+        .agg(F.count_if(sure).alias("sure"))
+        .withColumn("upto", F.sum("sure").over(line.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("end", F.min("chunk").over(line.orderBy(F.desc("upto")).rangeBetween(Window.unboundedPreceding, -2 * window)))
+        .select("well_id", "bucket", "chunk", F.coalesce("end", F.max("chunk").over(line)).alias("end"))
     )
-    reach = blocked.groupBy(*KEYS).agg(F.min(wanted).alias("lo"), F.max(wanted).alias("hi")).filter("lo IS NOT NULL")
-    extent = curve.groupBy("well_id", "curve_block").agg(F.min("tvt").alias("t0"), F.max("tvt").alias("t1"))
-    pairs = reach.join(extent, "well_id").filter(
-        (F.col("t1") >= F.col("lo") - band) & (F.col("t0") <= F.col("hi") + band)
-    ).select(*KEYS, "curve_block")
+    pairs = left.filter("home").select(*KEYS, "bucket").distinct().join(chunks, ["well_id", "bucket"])
+    on = [*KEYS, "bucket", "chunk"]
     # Fresh column ids: both sides come from the same pair table.
-    left = blocked.join(pairs, KEYS).toDF(*KEYS, "row_idx", "gr", "anchor", "n", "ps", "curve_block")
-    right = curve.join(pairs, ["well_id", "curve_block"]).select(*KEYS, "curve_block", "row_idx", "tvt", "gr")
-    right = right.toDF(*right.columns)
-    on = [*KEYS, "curve_block"]
+    asking = left.join(pairs.select(*on), [*KEYS, "bucket"]).select(*on, "row_idx", "gr", "anchor", "n", "home")
+    asking = asking.toDF(*asking.columns)
+    parts = pairs.select(*on, F.explode(F.sequence("chunk", "end")).alias("part"))
+    answering = curve.withColumnRenamed("chunk", "part").join(parts, ["well_id", "bucket", "part"]).select(*on, "part", "tw_idx", "tvt", "gr")
+    answering = answering.toDF(*answering.columns)
 
     def match(key: tuple, s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        well_id, block_id, curve_block = key
-        s, c = s.sort_values("row_idx"), c.sort_values("row_idx")
-        rows_, n, ps = s["row_idx"].to_numpy(), int(s["n"].iloc[0]), int(s["ps"].iloc[0])
-        anchor_ = s["anchor"].to_numpy(dtype=float)
-        home = (rows_ // block == block_id) & (rows_ >= ps) & np.isfinite(anchor_)
+        s, c = s.sort_values("row_idx"), c.sort_values("tw_idx")
+        rows_, home = s["row_idx"].to_numpy(), np.flatnonzero(s["home"].to_numpy(dtype=bool))
+        low = np.maximum(rows_[home] - window, 0) if len(home) else rows_[:0]
+        length = np.minimum(rows_[home] + window + 1, s["n"].iloc[0] if len(s) else 0) - low
+        first = np.searchsorted(rows_, low)  # every row of a home row's window is here
         idx, sad, centre = best_windows(
             s["gr"].to_numpy(dtype=float),
-            rows_,
-            n,
-            np.flatnonzero(home),
-            anchor_,
+            first,
+            length,
+            s["anchor"].to_numpy(dtype=float)[home],
             c["gr"].to_numpy(dtype=float),
             c["tvt"].to_numpy(dtype=float),
-            c["row_idx"].to_numpy(),
-            (curve_block + 1) * block,
-            window,
+            int((c["part"].to_numpy() == key[3]).sum()),
             band,
         )
         hit = idx >= 0
-        at = np.flatnonzero(home)[hit]
         return pd.DataFrame(
-            {"well_id": well_id, "row_idx": rows_[at], "start": idx[hit], "sad": sad[hit], "centre": centre[hit]}
+            {
+                "well_id": key[0],
+                "row_idx": rows_[home][hit],
+                "start": c["tw_idx"].to_numpy()[idx[hit]],
+                "sad": sad[hit],
+                "centre": centre[hit],
+            }
         )
 
     schema = "well_id string, row_idx int, start int, sad double, centre double"
-    partial = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(match, schema)
+    partial = asking.groupBy(*on).cogroup(answering.groupBy(*on)).applyInPandas(match, schema)
     best = partial.groupBy("well_id", "row_idx").agg(F.min(F.struct("sad", "start", "centre")).alias("m"))
     target = settle(blocked, block).filter(F.col("row_idx") >= F.col("ps")).select("well_id", "row_idx", "anchor")
     return target.join(best, ["well_id", "row_idx"], "left").select(
@@ -204,37 +223,37 @@ def window_match(
     )
 
 
-def best_windows(gr, rows_, n, home, anchor, cgr, ctvt, cidx, end, window, band, batch=256):
-    """Per home row: first start of the closest curve window inside the band, its distance and centre target.
+def best_windows(gr, first, length, anchor, cgr, ctvt, starts, band, cells=1 << 21):
+    """Per searched row: place of the first start of the closest window, its distance and the target at its centre.
 
-    ``start`` is -1 where no window fits. Starts at or beyond ``end`` belong to the next curve block.
+    ``first`` and ``length`` tell each row's window in ``gr``. Only the first ``starts`` curve rows may start a window, those
+    behind them complete it. A window is made of curve rows inside the band of the anchor alone. -1 where none fits.
+    Rows that see the same curve rows are compared with them together, ``cells`` values at a time.
     """
-    start = np.full(len(home), -1)
-    sad = np.full(len(home), np.inf)
-    centre = np.full(len(home), np.nan)
-    lo = np.maximum(rows_[home] - window, 0)
-    length = np.minimum(rows_[home] + window + 1, n) - lo
-    first = lo - rows_[0]  # offset of each row's window in the block
-    a = np.searchsorted(ctvt, anchor[home] - band, "left")
-    b = np.searchsorted(ctvt, anchor[home] + band, "right") - length  # last start that fits
-    b = np.minimum(b, np.searchsorted(cidx, end, "left") - 1)
-    ok = np.flatnonzero((length >= 3) & (b >= a))
-    # Longest windows first: the rows that still have a j-th value are then the first ones of a batch. Batches of
-    # rows with near anchors look at few starts.
-    ok = ok[np.lexsort((a[ok], -length[ok]))]
-    padded = np.concatenate([cgr, np.zeros(2 * window + 1)])
-    for k in range(0, len(ok), batch):
-        part = ok[k : k + batch]
-        s0, s1 = a[part].min(), b[part].max() + 1
-        size = length[part]
-        dist = np.zeros((len(part), s1 - s0))
-        for j in range(size[0]):
-            live = np.searchsorted(-size, -j, "left")
-            dist[:live] += np.abs(padded[s0 + j : s1 + j][None, :] - gr[first[part[:live]] + j][:, None])
-        pos = np.arange(s0, s1)[None, :]
-        dist[(pos < a[part][:, None]) | (pos > b[part][:, None])] = np.inf
-        best = dist.argmin(axis=1)
-        sad[part] = dist[np.arange(len(part)), best]
-        start[part] = cidx[s0 + best]
-        centre[part] = ctvt[s0 + best + size // 2]
+    start = np.full(len(anchor), -1)
+    sad = np.full(len(anchor), np.inf)
+    centre = np.full(len(anchor), np.nan)
+    values = np.sort(ctvt)
+    seen = np.stack([np.searchsorted(values, anchor - band, "left"), np.searchsorted(values, anchor + band, "right"), length])
+    order = np.lexsort(seen)
+    order = order[(seen[2] >= 3)[order]]
+    edges = np.flatnonzero(np.any(np.diff(seen[:, order], axis=1) != 0, axis=0)) + 1
+    for group in np.split(order, edges):
+        if not len(group):
+            continue
+        size, a = length[group[0]], anchor[group[0]]
+        members = np.flatnonzero((ctvt >= a - band) & (ctvt <= a + band))
+        count = min(np.searchsorted(members, starts), len(members) - size + 1)
+        if count < 1:
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(cgr[members], size)[:count]
+        step = max(1, cells // (count * size))
+        for k in range(0, len(group), step):
+            part = group[k : k + step]
+            mine = gr[first[part][:, None] + np.arange(size)]
+            dist = np.abs(windows[None, :, :] - mine[:, None, :]).sum(axis=2)
+            best = dist.argmin(axis=1)
+            sad[part] = dist[np.arange(len(part)), best]
+            start[part] = members[best]
+            centre[part] = ctvt[members[best + size // 2]]
     return start, sad, centre

@@ -213,17 +213,24 @@ def plain_match(s, c, anchor, window, band):
         if len(c) < 3 or len(own) < 3 or len(inside) < len(own):
             out[i] = anchor[i]
             continue
-        sad = [np.abs(cg[b : b + len(own)] - own).sum() for b in inside[: len(inside) - len(own) + 1]]
-        out[i] = ct[inside[int(np.argmin(sad))] + len(own) // 2]
+        band_gr = cg[inside]  # a window is made of the rows of the band alone
+        sad = [np.abs(band_gr[b : b + len(own)] - own).sum() for b in range(len(inside) - len(own) + 1)]
+        out[i] = ct[inside[int(np.argmin(sad)) + len(own) // 2]]
     return out
 
 
-@pytest.mark.parametrize("m, band", [(120, 30.0), (120, 5.0), (2, 30.0)])
-def test_window_match(spark, m, band):
+@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("m, band, order", [(120, 30.0, "up"), (120, 5.0, "up"), (2, 30.0, "up"), (120, 30.0, "down"), (200, 30.0, "mixed"), (120, 0.0, "mixed")])
+def test_window_match(spark, m, band, order, block):
+    """Curves that rise, fall, and run up and down with equal and missing targets."""
     s, c = make_series(n=60, cut=35, gaps=0.2), make_reference(m=m)
+    if order == "down":
+        c["tvt"] = c.tvt.to_numpy()[::-1]
+    elif order == "mixed":
+        c["tvt"] = np.where(c.tw_idx % 17 == 3, np.nan, 4980.0 + np.random.default_rng(3).integers(0, 90, len(c)))
     anchor = s.tvt + np.where(s.row_idx % 11 == 0, np.nan, s.row_idx % 4)
     rows = to_spark(spark, s.assign(anchor=anchor, row_idx=s.row_idx.astype(int))[["well_id", "row_idx", "gr", "tvt_input", "anchor"]], "well_id string, row_idx int, gr double, tvt_input double, anchor double")
-    out = collect(refcurve.window_match(rows, reference_df(spark, c), window=8, band=band))
+    out = collect(refcurve.window_match(rows, reference_df(spark, c), window=8, band=band, block=block))
     for w, part in s.groupby("well_id"):
         part = part.reset_index(drop=True)
         want = plain_match(part, c[c.well_id == w], anchor[s.well_id == w].to_numpy(), 8, band)
