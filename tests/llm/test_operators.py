@@ -1,6 +1,7 @@
 """The corpus operators against plain versions on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
 import textwrap
 import zlib
@@ -14,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodeline.llm import license_scan, ngram_join, seen, tokens
+from lodeline.llm import license_scan, ngram_join, quality_classifier, seen, tokens
+from lodeline.llm import quality_rules as quality_rules_
 from lodeline.llm.catalog import URL_RULES, tokenizer
 from lodeline.llm.common import row_ranges, text_buffer
 from lodeline.llm.components import components
@@ -400,6 +402,36 @@ def test_ratio_parts_junk_from_text(spark):
     assert min(clear) > max(r.score for r in rows if r.doc_id % 10 == 9) and min(clear) > -0.15
 
 
+def test_ratio_against_plain_counts(spark, docs, rows):
+    """Scores and verdicts from counts kept in dictionaries, n-gram by n-gram."""
+    hasher = Hasher(lower=False)
+
+    def grams(text):
+        data, offsets = text_buffer(pa.array([text], pa.string()))
+        return quality_rules_.buckets(hasher.words(data, offsets).hash).tolist()
+
+    table = [(i, grams(t)) for i, t, *_ in rows]
+    raw, own = Counter(), Counter()
+    for i, found in table:
+        raw.update(found)
+        own.update(found if i is not None and i < 60 else [])
+    n_raw, n_own, lean, size = sum(raw.values()), sum(own.values()), quality_rules_.LEAN, 2 << quality_rules_.BUCKET_BITS
+    want = []
+    for i, found in table:
+        mine, total = Counter(found), 0.0
+        for g in found:
+            p = (raw[g] - mine[g] + 1) / (n_raw - len(found) + size)
+            total += math.log((own[g] + lean * p) / (n_own + lean) / p)
+        want.append((-1 if i is None else i, len(found), total / len(found) if found else 0.0))
+    got = quality_rules(docs, docs.select("doc_id").where("doc_id < 60")).collect()
+    by_place = lambda x: (x[0], x[1], round(x[2], 6))
+    have = sorted(((-1 if r.doc_id is None else r.doc_id, max(0, 2 * r.n_words - 1), r.score, r) for r in got), key=by_place)
+    assert len(have) == len(want)
+    for (i, n, score), (j, m, found, r) in zip(sorted(want, key=by_place), have):
+        assert (i, n) == (j, m) and found == pytest.approx(score, abs=1e-9)
+        assert r.kept == (not r.base_failed and found >= quality_rules_.THRESHOLD)
+
+
 def plain_url(url, rules, default="allow"):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = lower(re.match(r"[^/?#]*", rest)[0])
@@ -514,3 +546,39 @@ def test_classifier(spark, docs, rows, empty):
     assert len(odd) == len(rows) and {r.score for r in odd} == {0.5}
     assert len(score_quality(docs, labels.union(labels.limit(5))).collect()) == len(rows)
     assert score_quality(empty, labels).collect() == []
+
+
+def plain_isotonic(score, ones, n):
+    """The isotonic fit by its definition, max over starts of min over ends of the mean, and the centre of each level."""
+    k = len(score)
+    mean = lambda a, b: ones[a : b + 1].sum() / n[a : b + 1].sum()
+    fit = [max(min(mean(a, b) for b in range(i, k)) for a in range(i + 1)) for i in range(k)]
+    levels = sorted(set(np.round(fit, 12)))
+    at = [np.flatnonzero(np.round(fit, 12) == v) for v in levels]
+    return [(score[a] * n[a]).sum() / n[a].sum() for a in at], levels
+
+
+def test_classifier_against_plain_fit(spark):
+    """Equal scores from one least-squares problem on all rows at once and the isotonic fit by its definition."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    ids = sorted(texts)
+    hasher = Hasher(lower=False)
+    x = np.concatenate([part for _, _, part in quality_classifier.statistics(pa.array([texts[i] for i in ids], pa.string()), hasher)])
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in ids])
+    marks = {r.doc_id: float(r.quality) for r in labels.collect()}
+    y = np.array([marks.get(i, np.nan) for i in ids])
+    fits, bends = (fold == 0) & ~np.isnan(y), (fold == 2) & ~np.isnan(y)
+    kernel = quality_classifier.Kernel(x[fits].mean(0), x[fits].std(0))
+    z = kernel(x)
+    share = quality_classifier.RIDGE * (z[fits] ** 2).sum() / z.shape[1]
+    pull = np.diag(np.r_[np.full(z.shape[1] - 1, math.sqrt(share)), 0.0])
+    weights = np.linalg.lstsq(np.vstack([z[fits], pull]), np.r_[y[fits], np.zeros(len(pull))], rcond=None)[0]
+    raw = np.clip(z @ weights, -0.5, 1.5)
+    bins = np.floor((raw[bends] + 0.5) / 2 * quality_classifier.BINS).astype(int)
+    found = np.unique(bins)
+    ones, n = (np.array([f(y[bends][bins == b]) for b in found], float) for f in (np.sum, len))
+    want = np.interp(raw, *plain_isotonic((found + 0.5) / quality_classifier.BINS * 2 - 0.5, ones, n))
+    got = {r.doc_id: r.score for r in score_quality(table, labels).collect()}
+    np.testing.assert_allclose([got[i] for i in ids], want, atol=1e-6)
