@@ -528,6 +528,7 @@ def queries() -> dict[str, Query]:
         "group_folds": lambda spark, sf: folds.group_folds(folds.series_sizes(train(spark, sf))),
         "fold_overlap": _fold_overlap,
         "strat_labels": lambda spark, sf: folds.stratification_labels(train(spark, sf)),
+        "cluster_check": lambda spark, sf: folds.cluster_check(train(spark, sf)),
         "strat_labels_spatial": lambda spark, sf: folds.stratification_labels(train(spark, sf), clusters=5),
         "strat_folds": lambda spark, sf: folds.snake_folds(folds.stratification_labels(train(spark, sf))),
         "group_holdout": _group_holdout,

