@@ -14,7 +14,7 @@ from lodeline.llm.decontamination import find_items
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.line_dedup import drop_repeated_lines
 from lodeline.llm.mixing import plan_mix
-from lodeline.llm.ngram_join import jaccard_components
+from lodeline.llm.ngram_join import jaccard_join
 from lodeline.llm.packing import pack
 from lodeline.llm.quality_classifier import score_quality
 from lodeline.llm.quality_rules import quality_rules
@@ -41,7 +41,7 @@ def tokenizer() -> bytes:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"))[0].drop("set")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +142,10 @@ p AS (
   FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON s.doc_id = c.a""",
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*)::BIGINT AS n_links FROM l GROUP BY a)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM s JOIN c ON s.doc_id = c.a LEFT JOIN k ON s.doc_id = k.a""",
     "op4_source_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,

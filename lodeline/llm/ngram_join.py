@@ -32,6 +32,8 @@ LEAF = 16
 FAN = 8
 TILE_SETS = 2000
 TILE_SHINGLES = 1 << 21
+CHECKED = 1 << 18
+FOUND_ROWS = 1 << 16
 CLASS_RATIO = 1.6
 
 
@@ -180,6 +182,57 @@ def join_group(sets: list[np.ndarray], centre: int, asks: np.ndarray, t: Thresho
     return links, apart
 
 
+class Tile:
+    """Sets side by side, so that one is checked against many at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.ends = np.cumsum(self.sizes)
+        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+
+    def own(self, i: int) -> slice:
+        return slice(self.ends[i] - self.sizes[i], self.ends[i])
+
+    def linked(self, i: int, some: np.ndarray, t: Threshold) -> np.ndarray:
+        """Those of ``some`` that link with ``i``. Exact."""
+        n = self.sizes[some]
+        self.mark[self.flat[self.own(i)]] = True
+        shared = np.zeros(len(some), np.int64)
+        step = max(1, CHECKED // max(1, int(n.max(initial=0))))
+        for k in range(0, len(some), step):
+            m = n[k : k + step]
+            starts = np.cumsum(m) - m
+            at = np.repeat(self.ends[some[k : k + step]] - m - starts, m) + np.arange(m.sum())
+            shared[k : k + step] = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), starts)
+        self.mark[self.flat[self.own(i)]] = False
+        return some[shared >= t.overlap(n, self.sizes[i])]
+
+
+def all_links(sets: list[np.ndarray], asks: np.ndarray, t: Threshold) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set the later ones that link with it, and which of these links are needed to connect what is connected.
+
+    If some sets come from another tile, which ``asks`` marks, they meet the others, and pairs of one kind are left out.
+    """
+    inside = np.flatnonzero(~asks)
+    if len(sets) < 2 or not len(inside):
+        return
+    tile, parent = Tile(sets), np.arange(len(sets))
+    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS) for s in sets])
+    tree = CountTree(points[inside], tile.sizes[inside])
+    across = bool(asks.any())
+    for i in np.flatnonzero(asks) if across else range(len(sets)):
+        some = inside[tree.search(points[i], int(tile.sizes[i]), t)]
+        some = tile.linked(i, some if across else some[some > i], t)
+        if len(some):
+            _, at = np.unique(parent[some], return_index=True)
+            ties = np.zeros(len(some), bool)
+            ties[at] = parent[some[at]] != parent[i]
+            for j in some[ties]:
+                parent[parent == parent[j]] = parent[i]
+            yield int(i), some, ties
+
+
 def _sets(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
     """One row per document: id, set size, two hashes that name the set, and the keys of its cells."""
 
@@ -242,35 +295,47 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return shared.withColumn("c", least).where("f <> c").select("c", "f").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list[np.ndarray], list[int], list[bool]]]:
+    """Centre, sets, names and marks of those that ask, for each group ``(c, tile, part)`` of sorted rows."""
+    hasher = Hasher(lower=True)
+
+    def parsed(c: int, rows: list) -> tuple[int, list[np.ndarray], list[int], list[bool]]:
+        data, offsets = text_buffer(pa.array([r[2] for r in rows], pa.large_string()))
+        w = hasher.words(data, offsets)
+        sets, names, asks, had = [], [], [], set()
+        for k, (f, ask, _) in enumerate(rows):
+            u = shingle_set(w.hash[w.first[k] : w.first[k + 1]], size)
+            if _name(u) == f and (f, ask) not in had:  # an id may stand for several texts
+                had.add((f, ask))
+                sets.append(u)
+                names.append(f)
+                asks.append(ask)
+        return c, sets, names, asks
+
+    key, held = None, []
+    for batch in (part for whole in batches for part in slices(whole)):
+        for c, tile, part, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if (c, tile, part) != key:
+                if held:
+                    yield parsed(key[0], held)
+                key, held = (c, tile, part), []
+            held.append((f, asks, text))
+    if held:
+        yield parsed(key[0], held)
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    group = ["c", "tile", "part"]
+    return members.select(*group, "f", "asks", "text").repartition(*group).sortWithinPartitions(*group)
+
+
 def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Searches each group ``(c, tile, part)`` of ``members(c, tile, part, f, asks, text)``. Rows ``(c, a, b)``: a link, or
     with null ``b`` a set that its tile does not connect to the centre."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
-        key, held = None, []
-        for batch in (part for whole in batches for part in slices(whole)):
-            for c, tile, part, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (c, tile, part) != key:
-                    if held:
-                        yield key, held
-                    key, held = (c, tile, part), []
-                held.append((f, asks, text))
-        if held:
-            yield key, held
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, out = Hasher(lower=True), []
-        for (c, _, _), rows in groups(batches):
-            data, offsets = text_buffer(pa.array([r[2] for r in rows], pa.large_string()))
-            w = hasher.words(data, offsets)
-            sets, names, asks, had = [], [], [], set()
-            for k, (f, ask, _) in enumerate(rows):
-                u = shingle_set(w.hash[w.first[k] : w.first[k + 1]], size)
-                if _name(u) == f and (f, ask) not in had:  # an id may stand for several texts
-                    had.add((f, ask))
-                    sets.append(u)
-                    names.append(f)
-                    asks.append(ask)
+        out = []
+        for c, sets, names, asks in _groups(batches, size):
             if len(sets) < 2:
                 continue
             centre = names.index(c) if c in names and not any(asks) else -1
@@ -281,9 +346,29 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
                 out = []
         yield _edges(out)
 
-    group = ["c", "tile", "part"]
-    columns = members.select(*group, "f", "asks", "text").repartition(*group).sortWithinPartitions(*group)
-    return columns.mapInArrow(run, "c long, a long, b long")
+    return _grouped(members).mapInArrow(run, "c long, a long, b long")
+
+
+def _every_link(members: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """``(a, b, tie)``: all links inside each group, ``a < b``, and whether it is one of those that connect the group."""
+
+    def batch(out: list) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "tie"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for _, sets, names, asks in _groups(batches, size):
+            names = np.array(names, np.int64)
+            for i, some, ties in all_links(sets, np.array(asks, bool), t):
+                out.append((np.minimum(names[i], names[some]), np.maximum(names[i], names[some]), ties))
+                held += len(some)
+                if held > FOUND_ROWS:
+                    yield batch(out)
+                    out, held = [], 0
+        yield batch(out)
+
+    return _grouped(members).mapInArrow(run, "a long, b long, tie boolean")
 
 
 def _edges(rows: list) -> pa.RecordBatch:
@@ -303,52 +388,114 @@ def jaccard_components(
     the smallest id that its links reach, else null. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     t = Threshold(num, den)
-    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # a set's text is found by id and text, since ids may be null or stand for several texts
-    docs = docs.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
-    texts = docs.where("doc_id is not null").union(docs.where("doc_id is null").dropDuplicates(["row"])).select("row", "text")
-    spark = docs.sparkSession
-    sets, sets_path = keep(_sets(docs, size, t), "sets")
-    # written, so that joins with it shuffle both sides and Spark can split a set that very many documents have
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    first = sets.where("n > 0").groupBy("n", "f", "g").agg(least.alias("least"))
-    first, _ = keep(first.select("n", "f", "g", F.col("least.doc_id").alias("first"), "least.row"), "first")
-    star, star_path = keep(_candidates(sets), "candidates")
-    n_of = sets.groupBy("f").agg(F.max("n").alias("n"))
-    weighed = lambda some: some.join(n_of, "f").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    pieces = F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("w") / TILE_SHINGLES)).cast("int")
-    spread = weighed(star).select("c", pieces.alias("tiles"))
-    spread, spread_path = keep(spread, "groups")
-    rows = star.join(spread, "c").select("c", F.expr("pmod(xxhash64(f), tiles)").cast("int").alias("tile"), "f")
+    index = _Index(docs, id, text, size, t)
+    spark, rows, spread = docs.sparkSession, index.rows, index.spread
     rows = rows.union(spread.select("c", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("c").alias("f")))
-    names = first.select("f", F.col("first").alias("doc_id"), "row")
-    members = rows.join(names, "f").join(texts, "row").withColumns({"part": F.lit(0), "asks": F.lit(False)})
+    members = index.with_texts(rows.withColumns({"part": F.lit(0), "asks": F.lit(False)}))
     found, found_path = keep(_links(members, size, t), "found")
 
     links = found.where("b is not null").select("a", "b")
     open_rows = found.where("b is null").select("c", F.col("a").alias("f")).distinct()
     again, again_path = keep(open_rows.join(spread.where("tiles > 1"), "c"), "open")
-    paths = [sets_path, star_path, spread_path, found_path, again_path]
+    paths = [*index.paths, found_path, again_path]
     if again.limit(1).count():  # sets that their tile did not tie to the centre ask the other tiles
         # as many at a time as a tile has sets; each part meets the whole tile, so memory is bounded however many ask
-        parts = weighed(again).select("c", pieces.alias("parts"))
+        parts = index.pieces(again).withColumnRenamed("tiles", "parts")
         asking = again.join(parts, "c").select(
             "c", F.explode(F.expr("filter(sequence(0, tiles - 1), x -> x <> pmod(xxhash64(f), tiles))")).alias("tile"),
             F.expr("pmod(xxhash64(f, 1), parts)").cast("int").alias("part"), "f", F.lit(True).alias("asks"),
         )
         asked = rows.join(parts, "c").select("c", "tile", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "f", F.lit(False).alias("asks"))
-        members = asked.union(asking).join(names, "f").join(texts, "row")
+        members = index.with_texts(asked.union(asking))
         more, more_path = keep(_links(members, size, t), "found")
         links = links.union(more.where("b is not null").select("a", "b"))
         paths.append(more_path)
 
-    of = components(links)
-    named = of.join(names, of.node == names.f).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = of.join(named, "component").select(F.col("node").alias("f"), "component_id")
-    joined, _ = keep(joined, "components")
-    head = sets.select("doc_id", "n", "f", "g")
-    out = head.join(first.hint("merge"), ["n", "f", "g"], "left").join(joined, "f", "left")
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first", "doc_id").alias("component_id"))
-    for path in paths[1:]:
+    joined, _ = keep(index.components(links), "components")
+    result = index.members(joined).select("doc_id", "n_shingles", "component_id")
+    for path in paths:
         discard(spark, path)
     return result
+
+
+def jaccard_join(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """All links: ``members(doc_id, n_shingles, component_id, n_links, set)``, a row for every row of ``docs``, and
+    ``links(a, b)``, a row for every two different sets that link, ``a < b``.
+
+    The first three columns are those of :func:`jaccard_components`, with its rules for nulls, empty texts, repeated ids
+    and clashing names. ``n_links`` is the number of other rows that a row's text links with, equal texts among them.
+    ``set`` names a text's set in ``links``; a text without shingles has none and no links. A group of texts that all
+    link has as many links as pairs of different sets, and its search grows with them.
+    """
+    t = Threshold(num, den)
+    index = _Index(docs, id, text, size, t)
+    spread = index.spread
+    # each set meets its own tile, and as one that asks every later tile of its group, in parts of a tile's size
+    rows = index.rows.union(spread.select("c", F.expr("pmod(xxhash64(c), tiles)").cast("int").alias("tile"), F.col("c").alias("f")))
+    alone = rows.withColumns({"part": F.lit(-1), "asks": F.lit(False)})
+    tiled = rows.join(spread.where("tiles > 1"), "c")
+    asking = tiled.where("tile + 1 < tiles").select(
+        "c", F.explode(F.expr("sequence(tile + 1, tiles - 1)")).alias("tile"),
+        "f", F.expr("pmod(xxhash64(f, 1), tiles)").cast("int").alias("part"), F.lit(True).alias("asks"),
+    )
+    asked = tiled.where("tile > 0").select("c", "tile", "f", F.explode(F.expr("sequence(0, tiles - 1)")).alias("part"), F.lit(False).alias("asks"))
+    found = _every_link(index.with_texts(alone.unionByName(asking).unionByName(asked)), size, t)
+    links, _ = keep(found.groupBy("a", "b").agg(F.max("tie").alias("tie")), "links")
+    copies = index.sets.where("n > 0").groupBy("f").agg(F.count("*").alias("copies"))
+    copies, copies_path = keep(copies, "copies")
+    both = links.select("a", "b").union(links.select("b", "a"))
+    others = both.join(copies, both.b == copies.f).groupBy("a").agg(F.sum("copies").alias("others"))
+    counts = copies.join(others, copies.f == others.a, "left").select("f", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = counts.join(index.components(links.where("tie").select("a", "b")), "f", "left")
+    joined, _ = keep(joined, "components")
+    members = index.members(joined).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("if(n_shingles > 0, f, null)").alias("set")
+    )
+    for path in [*index.paths, copies_path]:
+        discard(docs.sparkSession, path)
+    return members, links.select("a", "b")
+
+
+class _Index:
+    """The sets of a table and the groups that may hold links, each written to the shared folder."""
+
+    def __init__(self, docs: DataFrame, id: str, text: str, size: int, t: Threshold):
+        docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        # a set's text is found by id and text, since ids may be null or stand for several texts
+        docs = docs.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+        texts = docs.where("doc_id is not null").union(docs.where("doc_id is null").dropDuplicates(["row"]))
+        self.texts = texts.select("row", "text")
+        self.sets, _ = keep(_sets(docs, size, t), "sets")
+        # written, so that joins with it shuffle both sides and Spark can split a set that very many documents have
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+        first = self.sets.where("n > 0").groupBy("n", "f", "g").agg(least.alias("least"))
+        self.first, _ = keep(first.select("n", "f", "g", F.col("least.doc_id").alias("first"), "least.row"), "first")
+        self.star, star_path = keep(_candidates(self.sets), "candidates")
+        self.n_of = self.sets.groupBy("f").agg(F.max("n").alias("n"))
+        self.spread, spread_path = keep(self.pieces(self.star), "groups")
+        self.paths = [star_path, spread_path]  # the result reads the others
+        self.rows = self.star.join(self.spread, "c").select("c", F.expr("pmod(xxhash64(f), tiles)").cast("int").alias("tile"), "f")
+        self.names = self.first.select("f", F.col("first").alias("doc_id"), "row")
+
+    def pieces(self, some: DataFrame) -> DataFrame:
+        """``(c, tiles)``: how many tiles the sets of each group need."""
+        weighed = some.join(self.n_of, "f").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+        tiles = F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("w") / TILE_SHINGLES))
+        return weighed.select("c", tiles.cast("int").alias("tiles"))
+
+    def with_texts(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.names, "f").join(self.texts, "row")
+
+    def components(self, links: DataFrame) -> DataFrame:
+        """``(f, component_id)`` of sets with links."""
+        of = components(links)
+        named = of.join(self.names, of.node == self.names.f).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        return of.join(named, "component").select(F.col("node").alias("f"), "component_id")
+
+    def members(self, joined: DataFrame) -> DataFrame:
+        """The rows of the table, with what is known of their sets."""
+        head = self.sets.select("doc_id", "n", "f", "g")
+        out = head.join(self.first.hint("merge"), ["n", "f", "g"], "left").join(joined, "f", "left")
+        return out.withColumnRenamed("n", "n_shingles").withColumn("component_id", F.coalesce("component_id", "first", "doc_id"))

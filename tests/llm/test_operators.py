@@ -24,7 +24,7 @@ from lodeline.llm.decontamination import find_items, least_edits
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.line_dedup import drop_repeated_lines
 from lodeline.llm.mixing import mix_sources, plan_mix, source_targets
-from lodeline.llm.ngram_join import CountTree, Threshold, jaccard_components, signatures
+from lodeline.llm.ngram_join import CountTree, Threshold, jaccard_components, jaccard_join, signatures
 from lodeline.llm.quality_classifier import isotonic, score_quality
 from lodeline.llm.quality_rules import quality_rules
 from lodeline.llm.token_counts import count_tokens
@@ -116,6 +116,47 @@ def test_join_with_tiny_tiles(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == plain_components(some, 85, 100)
 
 
+def plain_links(rows, num, den, size=4):
+    """Linked pairs of different sets, and the number of other rows that each row links with."""
+    sets = [(i, frozenset(shingles(t, size))) for i, t in rows]
+    near = lambda a, b: a and b and den * len(a & b) >= num * len(a | b)
+    pairs = {frozenset((a, b)) for _, a in sets for _, b in sets if a != b and near(a, b)}
+    return pairs, Counter((i, len(a), sum(bool(near(a, b)) for _, b in sets) - bool(a)) for i, a in sets)
+
+
+@pytest.mark.parametrize("tile", [3, 2000])
+def test_every_link_equals_all_pairs(spark, rows, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", tile)
+    monkeypatch.setattr(ngram_join, "CHECKED", 100)
+    rng = np.random.default_rng(5)
+    base, some = [f"w{k}" for k in range(60)], list(rows[:60])
+    for i in range(60):
+        words = base.copy()
+        for k in rng.integers(0, 60, rng.integers(0, 3)):
+            words[k] = f"v{i}"
+        some.append((1000 + i, " ".join(words)))
+    some = [(i, t) for i, t, *_ in some]
+    pairs, counts = plain_links(some, 85, 100)
+    members, links = jaccard_join(spark.createDataFrame(some, "doc_id long, text string").repartition(3))
+    members = members.collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in members) == counts
+    texts_of = {r.set: frozenset(shingles(dict(some)[r.doc_id])) for r in members if r.set is not None and r.doc_id is not None}
+    found = [frozenset((texts_of[r.a], texts_of[r.b])) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+    if tile > 3:  # the components are those that links connect
+        connected = jaccard_components(spark.createDataFrame(some, "doc_id long, text string"))
+        assert Counter((r.doc_id, r.component_id) for r in members) == Counter((r.doc_id, r.component_id) for r in connected.collect())
+
+
+def test_every_link_edges(docs, rows, empty):
+    clash = docs.selectExpr("*", "1 AS f", "2 AS set", "3 AS n_links", "4 AS c", "5 AS tile")
+    members, links = jaccard_join(clash)
+    members = members.collect()
+    assert len(members) == len(rows) and all(r.n_links == 0 and r.set is None for r in members if r.n_shingles == 0)
+    members, links = jaccard_join(empty)
+    assert members.collect() == [] and links.collect() == []
+
+
 def test_join_edges(docs, rows, empty):
     got = jaccard_components(docs).collect()
     assert len(got) == len(rows)
