@@ -295,47 +295,48 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return shared.withColumn("c", least).where("f <> c").select("c", "f").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list[np.ndarray], list[int], list[bool]]]:
-    """Centre, sets, names and marks of those that ask, for each group ``(c, tile, part)`` of sorted rows."""
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[int], list[bool], list[int]]]:
+    """Centre, sets, names, marks of those that ask and numbers of copies, for each group ``(c, tile, part)`` of sorted rows."""
     hasher = Hasher(lower=True)
 
-    def parsed(c: int, rows: list) -> tuple[int, list[np.ndarray], list[int], list[bool]]:
+    def parsed(c: int, rows: list) -> tuple[int, list, list[int], list[bool], list[int]]:
         data, offsets = text_buffer(pa.array([r[2] for r in rows], pa.large_string()))
         w = hasher.words(data, offsets)
-        sets, names, asks, had = [], [], [], set()
-        for k, (f, ask, _) in enumerate(rows):
+        sets, names, asks, copies, had = [], [], [], [], set()
+        for k, (f, ask, _, several) in enumerate(rows):
             u = shingle_set(w.hash[w.first[k] : w.first[k + 1]], size)
             if _name(u) == f and (f, ask) not in had:  # an id may stand for several texts
                 had.add((f, ask))
                 sets.append(u)
                 names.append(f)
                 asks.append(ask)
-        return c, sets, names, asks
+                copies.append(several)
+        return c, sets, names, asks, copies
 
     key, held = None, []
     for batch in (part for whole in batches for part in slices(whole)):
-        for c, tile, part, f, asks, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for c, tile, part, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if (c, tile, part) != key:
                 if held:
                     yield parsed(key[0], held)
                 key, held = (c, tile, part), []
-            held.append((f, asks, text))
+            held.append(row)
     if held:
         yield parsed(key[0], held)
 
 
 def _grouped(members: DataFrame) -> DataFrame:
     group = ["c", "tile", "part"]
-    return members.select(*group, "f", "asks", "text").repartition(*group).sortWithinPartitions(*group)
+    return members.select(*group, "f", "asks", "text", "copies").repartition(*group).sortWithinPartitions(*group)
 
 
 def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Searches each group ``(c, tile, part)`` of ``members(c, tile, part, f, asks, text)``. Rows ``(c, a, b)``: a link, or
+    """Searches each group ``(c, tile, part)`` of ``members(c, tile, part, f, asks, text, copies)``. Rows ``(c, a, b)``: a link, or
     with null ``b`` a set that its tile does not connect to the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for c, sets, names, asks in _groups(batches, size):
+        for c, sets, names, asks, _ in _groups(batches, size):
             if len(sets) < 2:
                 continue
             centre = names.index(c) if c in names and not any(asks) else -1
@@ -350,25 +351,28 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
 
 
 def _every_link(members: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """``(a, b, tie)``: all links inside each group, ``a < b``, and whether it is one of those that connect the group."""
+    """``(a, b, a_copies, b_copies, tie)``: all links inside each group, ``a < b``, how many rows have these sets, and
+    whether the link is one of those that connect the group."""
+    names_of = ["a", "b", "a_copies", "b_copies", "tie"]
 
     def batch(out: list) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "tie"])
+        columns = [np.concatenate(x) for x in zip(*out)] or [*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for _, sets, names, asks in _groups(batches, size):
-            names = np.array(names, np.int64)
+        for _, sets, names, asks, copies in _groups(batches, size):
+            f, several = np.array(names, np.int64), np.array(copies, np.int64)
             for i, some, ties in all_links(sets, np.array(asks, bool), t):
-                out.append((np.minimum(names[i], names[some]), np.maximum(names[i], names[some]), ties))
+                ends = [(np.where(f[i] < f[some], x[i], x[some]), np.where(f[i] < f[some], x[some], x[i])) for x in (f, several)]
+                out.append((*ends[0], *ends[1], ties))
                 held += len(some)
                 if held > FOUND_ROWS:
                     yield batch(out)
                     out, held = [], 0
         yield batch(out)
 
-    return _grouped(members).mapInArrow(run, "a long, b long, tie boolean")
+    return _grouped(members).mapInArrow(run, "a long, b long, a_copies long, b_copies long, tie boolean")
 
 
 def _edges(rows: list) -> pa.RecordBatch:
@@ -442,18 +446,16 @@ def jaccard_join(
     )
     asked = tiled.where("tile > 0").select("c", "tile", "f", F.explode(F.expr("sequence(0, tiles - 1)")).alias("part"), F.lit(False).alias("asks"))
     found = _every_link(index.with_texts(alone.unionByName(asking).unionByName(asked)), size, t)
-    links, _ = keep(found.groupBy("a", "b").agg(F.max("tie").alias("tie")), "links")
-    copies = index.sets.where("n > 0").groupBy("f").agg(F.count("*").alias("copies"))
-    copies, copies_path = keep(copies, "copies")
-    both = links.select("a", "b").union(links.select("b", "a"))
-    others = both.join(copies, both.b == copies.f).groupBy("a").agg(F.sum("copies").alias("others"))
-    counts = copies.join(others, copies.f == others.a, "left").select("f", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = counts.join(index.components(links.where("tie").select("a", "b")), "f", "left")
-    joined, _ = keep(joined, "components")
+    copies = [F.max(x).alias(x) for x in ("a_copies", "b_copies")]
+    links, _ = keep(found.groupBy("a", "b").agg(*copies, F.max("tie").alias("tie")), "links")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b_copies").alias("k")), F.struct(F.col("b").alias("f"), F.col("a_copies").alias("k"))))
+    others = links.select(ends.alias("end")).groupBy("end.f").agg(F.sum("end.k").alias("others"))
+    joined, _ = keep(others.join(index.components(links.where("tie").select("a", "b")), "f"), "components")
     members = index.members(joined).select(
-        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("if(n_shingles > 0, f, null)").alias("set")
-    )
-    for path in [*index.paths, copies_path]:
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.coalesce("others", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        F.expr("if(n_shingles > 0, f, null)").alias("set"),
+    )
+    for path in index.paths:
         discard(docs.sparkSession, path)
     return members, links.select("a", "b")
 
@@ -470,14 +472,14 @@ class _Index:
         self.sets, _ = keep(_sets(docs, size, t), "sets")
         # written, so that joins with it shuffle both sides and Spark can split a set that very many documents have
         least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-        first = self.sets.where("n > 0").groupBy("n", "f", "g").agg(least.alias("least"))
-        self.first, _ = keep(first.select("n", "f", "g", F.col("least.doc_id").alias("first"), "least.row"), "first")
+        first = self.sets.where("n > 0").groupBy("n", "f", "g").agg(least.alias("least"), F.count("*").alias("copies"))
+        self.first, _ = keep(first.select("n", "f", "g", F.col("least.doc_id").alias("first"), "least.row", "copies"), "first")
         self.star, star_path = keep(_candidates(self.sets), "candidates")
         self.n_of = self.sets.groupBy("f").agg(F.max("n").alias("n"))
         self.spread, spread_path = keep(self.pieces(self.star), "groups")
         self.paths = [star_path, spread_path]  # the result reads the others
         self.rows = self.star.join(self.spread, "c").select("c", F.expr("pmod(xxhash64(f), tiles)").cast("int").alias("tile"), "f")
-        self.names = self.first.select("f", F.col("first").alias("doc_id"), "row")
+        self.names = self.first.select("f", F.col("first").alias("doc_id"), "row", "copies")
 
     def pieces(self, some: DataFrame) -> DataFrame:
         """``(c, tiles)``: how many tiles the sets of each group need."""
