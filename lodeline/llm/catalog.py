@@ -41,7 +41,7 @@ def tokenizer() -> bytes:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))[0].drop("set")
+    return jaccard_join(table(spark, sf_dir, "documents"), listed=False)[0].drop("set")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

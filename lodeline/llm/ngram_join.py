@@ -209,10 +209,33 @@ class Tile:
         return some[shared >= t.overlap(n, self.sizes[i])]
 
 
-def all_links(sets: list[np.ndarray], asks: np.ndarray, t: Threshold) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class Elsewhere:
+    """Which sets of a group are together in a group of a lesser centre too, where their link is counted instead."""
+
+    def __init__(self, centre: int, centres: list[list[int]]):
+        lower = [[x for x in some if x < centre] for some in centres]
+        self.ends = np.cumsum([len(x) for x in lower])
+        self.starts = self.ends - [len(x) for x in lower]
+        values, self.flat = np.unique(np.array([x for some in lower for x in some], np.int64), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+
+    def here(self, i: int, some: np.ndarray) -> np.ndarray:
+        own = self.flat[self.starts[i] : self.ends[i]]
+        if not len(own):
+            return some
+        self.mark[own] = True
+        upto = np.concatenate([[0], np.cumsum(self.mark[self.flat])])
+        self.mark[own] = False
+        return some[upto[self.ends[some]] == upto[self.starts[some]]]
+
+
+def all_links(
+    sets: list[np.ndarray], asks: np.ndarray, elsewhere: Elsewhere, t: Threshold
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each set the later ones that link with it, and which of these links are needed to connect what is connected.
 
-    If some sets come from another tile, which ``asks`` marks, they meet the others, and pairs of one kind are left out.
+    If some sets come from another tile, which ``asks`` marks, they meet the others, and pairs of one kind are left out,
+    as are pairs that another group counts.
     """
     inside = np.flatnonzero(~asks)
     if len(sets) < 2 or not len(inside):
@@ -223,7 +246,7 @@ def all_links(sets: list[np.ndarray], asks: np.ndarray, t: Threshold) -> Iterato
     across = bool(asks.any())
     for i in np.flatnonzero(asks) if across else range(len(sets)):
         some = inside[tree.search(points[i], int(tile.sizes[i]), t)]
-        some = tile.linked(i, some if across else some[some > i], t)
+        some = tile.linked(i, elsewhere.here(i, some if across else some[some > i]), t)
         if len(some):
             _, at = np.unique(parent[some], return_index=True)
             ties = np.zeros(len(some), bool)
@@ -295,39 +318,39 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return shared.withColumn("c", least).where("f <> c").select("c", "f").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[int], list[bool], list[int]]]:
-    """Centre, sets, names, marks of those that ask and numbers of copies, for each group ``(c, tile, part)`` of sorted rows."""
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tuple, list, list[int], list[bool], list]]:
+    """The key, sets, names, marks of those that ask and further columns, for each group ``(c, tile, part)`` of sorted rows."""
     hasher = Hasher(lower=True)
 
-    def parsed(c: int, rows: list) -> tuple[int, list, list[int], list[bool], list[int]]:
+    def parsed(key: tuple, rows: list) -> tuple[tuple, list, list[int], list[bool], list]:
         data, offsets = text_buffer(pa.array([r[2] for r in rows], pa.large_string()))
         w = hasher.words(data, offsets)
-        sets, names, asks, copies, had = [], [], [], [], set()
-        for k, (f, ask, _, several) in enumerate(rows):
+        sets, names, asks, more, had = [], [], [], [], set()
+        for k, (f, ask, _, *others) in enumerate(rows):
             u = shingle_set(w.hash[w.first[k] : w.first[k + 1]], size)
             if _name(u) == f and (f, ask) not in had:  # an id may stand for several texts
                 had.add((f, ask))
                 sets.append(u)
                 names.append(f)
                 asks.append(ask)
-                copies.append(several)
-        return c, sets, names, asks, copies
+                more.append(others)
+        return key, sets, names, asks, more
 
     key, held = None, []
     for batch in (part for whole in batches for part in slices(whole)):
-        for c, tile, part, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for c, tile, part, *row in zip(*(x.to_pylist() for x in batch.columns)):
             if (c, tile, part) != key:
                 if held:
-                    yield parsed(key[0], held)
+                    yield parsed(key, held)
                 key, held = (c, tile, part), []
             held.append(row)
     if held:
-        yield parsed(key[0], held)
+        yield parsed(key, held)
 
 
 def _grouped(members: DataFrame) -> DataFrame:
     group = ["c", "tile", "part"]
-    return members.select(*group, "f", "asks", "text", "copies").repartition(*group).sortWithinPartitions(*group)
+    return members.select(*group, "f", "asks", "text", *(x for x in ("copies", "centres") if x in members.columns)).repartition(*group).sortWithinPartitions(*group)
 
 
 def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
@@ -336,7 +359,7 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for c, sets, names, asks, _ in _groups(batches, size):
+        for (c, _, _), sets, names, asks, _ in _groups(batches, size):
             if len(sets) < 2:
                 continue
             centre = names.index(c) if c in names and not any(asks) else -1
@@ -350,29 +373,39 @@ def _links(members: DataFrame, size: int, t: Threshold) -> DataFrame:
     return _grouped(members).mapInArrow(run, "c long, a long, b long")
 
 
-def _every_link(members: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """``(a, b, a_copies, b_copies, tie)``: all links inside each group, ``a < b``, how many rows have these sets, and
-    whether the link is one of those that connect the group."""
-    names_of = ["a", "b", "a_copies", "b_copies", "tie"]
+def _every_link(members: DataFrame, size: int, t: Threshold, listed: bool) -> DataFrame:
+    """``(a, b, k, tie)``, from ``members`` with the numbers of their copies and their centres. With null ``b``: a set and how
+    many rows it links with. Else a link, ``a < b``, once: those that connect the group, or all if they are ``listed``."""
+    names_of = ["a", "b", "k", "tie"]
 
     def batch(out: list) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*out)] or [*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names_of)
+        a, b, k, tie = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        columns = [pa.array(a), pa.array(b, mask=k > 0), pa.array(k), pa.array(tie)]
+        return pa.RecordBatch.from_arrays(columns, names=names_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for _, sets, names, asks, copies in _groups(batches, size):
-            f, several = np.array(names, np.int64), np.array(copies, np.int64)
-            for i, some, ties in all_links(sets, np.array(asks, bool), t):
-                ends = [(np.where(f[i] < f[some], x[i], x[some]), np.where(f[i] < f[some], x[some], x[i])) for x in (f, several)]
-                out.append((*ends[0], *ends[1], ties))
+        for (c, _, part), sets, names, asks, more in _groups(batches, size):
+            if part >= 0 and not any(asks):
+                continue  # the tile meets itself elsewhere
+            f, copies = np.array(names, np.int64), np.array([x[0] for x in more], np.int64)
+            others = np.zeros(len(f), np.int64)
+            for i, some, ties in all_links(sets, np.array(asks, bool), Elsewhere(c, [x[1] for x in more]), t):
+                others[i] += copies[some].sum()
+                others[some] += copies[i]
+                if not listed:
+                    some, ties = some[ties], ties[ties]
+                out.append((np.minimum(f[i], f[some]), np.maximum(f[i], f[some]), np.zeros(len(some), np.int64), ties))
                 held += len(some)
                 if held > FOUND_ROWS:
                     yield batch(out)
                     out, held = [], 0
+            linked = others > 0
+            out.append((f[linked], f[linked], others[linked], np.zeros(linked.sum(), bool)))
+            held += len(out[-1][0])
         yield batch(out)
 
-    return _grouped(members).mapInArrow(run, "a long, b long, a_copies long, b_copies long, tie boolean")
+    return _grouped(members).mapInArrow(run, "a long, b long, k long, tie boolean")
 
 
 def _edges(rows: list) -> pa.RecordBatch:
@@ -423,15 +456,16 @@ def jaccard_components(
 
 
 def jaccard_join(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, listed: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
     """All links: ``members(doc_id, n_shingles, component_id, n_links, set)``, a row for every row of ``docs``, and
     ``links(a, b)``, a row for every two different sets that link, ``a < b``.
 
     The first three columns are those of :func:`jaccard_components`, with its rules for nulls, empty texts, repeated ids
     and clashing names. ``n_links`` is the number of other rows that a row's text links with, equal texts among them.
     ``set`` names a text's set in ``links``; a text without shingles has none and no links. A group of texts that all
-    link has as many links as pairs of different sets, and its search grows with them.
+    link has as many links as pairs of different sets, and its search grows with them; unless they are ``listed``, links are
+    counted in the tasks that find them, and no table of them is made.
     """
     t = Threshold(num, den)
     index = _Index(docs, id, text, size, t)
@@ -445,19 +479,20 @@ def jaccard_join(
         "f", F.expr("pmod(xxhash64(f, 1), tiles)").cast("int").alias("part"), F.lit(True).alias("asks"),
     )
     asked = tiled.where("tile > 0").select("c", "tile", "f", F.explode(F.expr("sequence(0, tiles - 1)")).alias("part"), F.lit(False).alias("asks"))
-    found = _every_link(index.with_texts(alone.unionByName(asking).unionByName(asked)), size, t)
-    copies = [F.max(x).alias(x) for x in ("a_copies", "b_copies")]
-    links, _ = keep(found.groupBy("a", "b").agg(*copies, F.max("tie").alias("tie")), "links")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b_copies").alias("k")), F.struct(F.col("b").alias("f"), F.col("a_copies").alias("k"))))
-    others = links.select(ends.alias("end")).groupBy("end.f").agg(F.sum("end.k").alias("others"))
-    joined, _ = keep(others.join(index.components(links.where("tie").select("a", "b")), "f"), "components")
+    # a pair is counted where its least centre is; a set has no more centres than its text has cells
+    centres = rows.groupBy("f").agg(F.collect_set("c").alias("centres"))
+    met = alone.unionByName(asking).unionByName(asked).join(centres, "f")
+    found, found_path = keep(_every_link(index.with_texts(met), size, t, listed), "links")
+    others = found.where("b is null").groupBy(F.col("a").alias("f")).agg(F.sum("k").alias("others"))
+    tied = index.components(found.where("b is not null and tie").select("a", "b"))
+    joined, _ = keep(others.join(tied, "f"), "components")
     members = index.members(joined).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.coalesce("others", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.expr("if(n_shingles > 0, f, null)").alias("set"),
     )
-    for path in index.paths:
+    for path in index.paths if listed else [*index.paths, found_path]:
         discard(docs.sparkSession, path)
-    return members, links.select("a", "b")
+    return members, found.where("b is not null").select("a", "b") if listed else None
 
 
 class _Index:

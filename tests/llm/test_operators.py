@@ -140,6 +140,8 @@ def test_every_link_equals_all_pairs(spark, rows, monkeypatch, tile):
     members, links = jaccard_join(spark.createDataFrame(some, "doc_id long, text string").repartition(3))
     members = members.collect()
     assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in members) == counts
+    counted, none = jaccard_join(spark.createDataFrame(some, "doc_id long, text string"), listed=False)
+    assert none is None and Counter(map(tuple, counted.collect())) == Counter(map(tuple, members))
     texts_of = {r.set: frozenset(shingles(dict(some)[r.doc_id])) for r in members if r.set is not None and r.doc_id is not None}
     found = [frozenset((texts_of[r.a], texts_of[r.b])) for r in links.collect()]
     assert len(found) == len(set(found)) and set(found) == pairs
