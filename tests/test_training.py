@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from conftest import make_series, series_df
@@ -147,6 +149,51 @@ def test_search_is_sorted(table):
     assert [r["rmse_mean"] for r in out] == sorted(r["rmse_mean"] for r in out) and len(out) == 2
 
 
+@pytest.fixture
+def fits(monkeypatch):
+    """How many fits ran at a time, most at the end."""
+    running, most, lock, fit = [0], [0], threading.Lock(), training._fit
+
+    def counted(*args):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return fit(*args)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(training, "_fit", counted)
+    return most
+
+
+def test_fits_that_do_not_fit_in_memory_wait(table, fits, monkeypatch):
+    rows, columns = table
+    wide = training.out_of_fold(rows, columns, [1, 2], SMALL).agg(F.count("*"), F.sum("y_pred")).first()
+    monkeypatch.setattr(training, "storage_memory", lambda spark: 1)
+    fits[0] = 0
+    assert training.out_of_fold(rows, columns, [1, 2], SMALL).agg(F.count("*"), F.sum("y_pred")).first() == pytest.approx(wide)
+    assert fits[0] == 1
+    training.param_search(rows, columns, SMALL, trials=2)
+    assert fits[0] == 1
+
+
+def test_fits_at_once(spark, monkeypatch):
+    assert training.storage_memory(spark) > 1 << 20
+    a_row = training.ROW_BYTES + 10 * training.BIN_BYTES
+    monkeypatch.setattr(training, "storage_memory", lambda spark: 3500 * a_row)
+    assert [training.fits_at_once(spark, n, 10, 8) for n in (0, 100, 1000, 3500, 10**9)] == [8, 8, 3, 1, 1]
+
+
+def test_search_writes_its_vectors_once(table, monkeypatch):
+    rows, columns = table
+    written, stage = [], training.stage
+    monkeypatch.setattr(training, "stage", lambda df, **kw: written.append(df.columns) or stage(df, **kw))
+    training.param_search(rows, columns, SMALL, trials=3)
+    assert len([c for c in written if "features" in c]) == 1
+
+
 def test_fold_scaler(table):
     rows, _ = table
     scaler = training.fold_scaler(rows.withColumn("k", F.lit(4.0)), ["md", "k"])
