@@ -149,6 +149,18 @@ def test_search_is_sorted(table):
     assert [r["rmse_mean"] for r in out] == sorted(r["rmse_mean"] for r in out) and len(out) == 2
 
 
+def test_registered_search_does_its_whole_job(spark, monkeypatch):
+    from lodeline import catalog
+
+    asked = []
+    monkeypatch.setattr(catalog, "training_table", lambda spark, sf: ("table", ["x"]))
+    monkeypatch.setattr(training, "param_search", lambda table, columns, base, trials=10, **kw: asked.append((table, base, trials, kw)))
+    catalog.queries()["param_search"](spark, "nowhere")
+    [(table, base, trials, others)] = asked
+    assert table == "table" and trials == 100 and not others
+    assert base == training.Params(patience=50) and base.most_trees == 3000 and base.trees is None
+
+
 @pytest.fixture
 def fits(monkeypatch):
     """How many fits ran at a time, most at the end."""
